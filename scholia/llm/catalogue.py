@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import packing, sharding
+from scholia.llm import embeddings, minhash, packing, sharding, substring
 from scholia.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.without_repeats(table(spark, folder, "documents"), window=20)
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), RANKS)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=3, threshold=Fraction(85, 100))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(table(spark, folder, "documents"), shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
