@@ -8,9 +8,10 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import embeddings, minhash, packing, sharding, substring
+from scholia.llm import decontamination, embeddings, lattice, licences, minhash, packing, quality, sharding, substring
 from scholia.sources.tables import table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -26,10 +27,28 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), RANKS)
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    return quality.score_quality(docs, model)
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=3, threshold=Fraction(85, 100))
 
 
+def op8_lattice_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, folder, "documents"), PIECES)
+
+
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_report(table(spark, folder, "documents"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(table(spark, folder, "documents"), shards=40)
 
@@ -38,7 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_lattice_scoring": op8_lattice_scoring,
+    "op9_licence_scan": op9_licence_scan,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
