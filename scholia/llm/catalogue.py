@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import decontamination, embeddings, lattice, licences, minhash, packing, quality, sharding, substring
+from scholia.llm import decontamination, embeddings, lattice, licences, minhash, packing, pii, quality, sharding, substring
 from scholia.sources.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), RANKS)
 
 
+def op4_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    done = pii.pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "pii_count", "pii_kinds", "text")
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_quality(docs, table(spark, folder, "labels"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
