@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from scholia.plans import graph_queries, metric_queries, record_queries
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+_PARTS = (record_queries.REGISTRY, metric_queries.REGISTRY, graph_queries.REGISTRY)
+QUERIES = {name: q for part in _PARTS for name, q in part.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
