@@ -8,7 +8,9 @@ cell. Equal vectors are compared once. A cell is compared in blocks, whose tasks
 return counts and a spanning forest, never pairs.
 
 The cells are fitted on a bounded sample (``SAMPLE`` vectors, the smallest by a hash
-of their ids); they decide speed, not results.
+of their ids); they decide speed, not results. So does their number, which is the one
+with the least work on the sample: vectors that spread too widely for the threshold
+would visit every cell, and then fewer cells are better.
 """
 
 from __future__ import annotations
@@ -48,6 +50,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
     return c
 
 
+def _visits(near: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Own cell of each vector, and which cells it must be in, from its cosines to the centres."""
+    spread = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
+    own = near.argmax(axis=1)
+    best = near[np.arange(len(near)), own]
+    goes = (best[:, None] - near) <= reach * spread[own] + 1e-9
+    goes[np.arange(len(near)), own] = True
+    return own, goes
+
+
+def fitted_cells(x: np.ndarray, n: int, labels: int, threshold: float, per_cell: int) -> np.ndarray:
+    """Centroids for ``n`` vectors of ``labels`` labels: of 1, 4, 16, ... cells the number with the least work."""
+    reach, most = float(np.sqrt(max(0.0, 2 - 2 * threshold))), max(1, min(MOST_CELLS, n // per_cell, len(x) // 20))
+    best, least, k = None, np.inf, 1
+    while k <= most:
+        centres = spherical_kmeans(x, k)
+        own, goes = _visits(x @ centres.T, centres, reach)
+        # Comparisons a vector, and what it costs to send it to its cells.
+        work = (np.bincount(own, minlength=k) * goes.sum(axis=0)).sum() / len(x) ** 2 * n / labels + 64 * goes.sum() / len(x)
+        if work < least:
+            best, least = centres, work
+        k *= 4
+    return best
+
+
 def _units(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, digest, unit`` of the vectors that can be linked."""
 
@@ -70,17 +97,12 @@ def _units(vectors: DataFrame) -> DataFrame:
 def _dealt(units: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
     """Each vector once in its own cell and once in each cell that it must visit."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    spread = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            near = np.stack(b["unit"].to_numpy()) @ centres.T
-            own = near.argmax(axis=1)
-            best = near[np.arange(len(b)), own]
-            goes = (best[:, None] - near) <= reach * spread[own] + 1e-9
-            goes[np.arange(len(b)), own] = True
+            own, goes = _visits(np.stack(b["unit"].to_numpy()) @ centres.T, centres, reach)
             row, cell = np.nonzero(goes)
             out = b.iloc[row].copy()
             out["cell"], out["home"] = cell.astype(np.int32), cell == own[row]
@@ -89,7 +111,7 @@ def _dealt(units: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame
     return units.mapInPandas(run, "rep long, label string, m long, unit array<double>, cell int, home boolean")
 
 
-def _forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+def forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each linked vector to the smallest of its component within a block pair."""
     rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
     part = linked[np.ix_(rows, cols)]
@@ -129,8 +151,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     sample = reps.select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
     if len(sample):
         x = np.stack(sample["unit"].to_numpy())
-        k = int(min(MOST_CELLS, max(1, reps.count() // per_cell), max(1, len(x) // 20)))
-        centres = spherical_kmeans(x, k)
+        n, labels = reps.agg(F.count("*"), F.count_distinct("label")).first()
+        centres = fitted_cells(x, n, labels, threshold, per_cell)
     else:
         centres = np.ones((1, 1))
     dealt = durable(_dealt(reps.select("rep", "label", "m", "unit"), centres, threshold), "dealt")
@@ -162,7 +184,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             return empty
         some = np.flatnonzero(n)
         rows = [(int(left[k]), int(left[k]), int(n[k])) for k in some]
-        rows += [(u, v, 0) for u, v in _forest(left, right, linked)]
+        rows += [(u, v, 0) for u, v in forest(left, right, linked)]
         return pd.DataFrame(rows, columns=["rep", "other", "n"])
 
     found = durable(

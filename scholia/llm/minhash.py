@@ -6,10 +6,12 @@ to ``TOP``). Registers of a union are the larger of two registers, so sketches
 merge. Bands of four registers are joined; candidate pairs pass a joint likelihood
 estimate of their similarity, and every link is confirmed on the full sets.
 
-Work that a group of copies would square is never done. Equal sets are one
-representative. Members of a band are first compared with its smallest member,
-which settles groups of near copies; what is still apart is compared in blocks,
-and only pairs whose estimate is not hopeless leave a block.
+Work that a group of copies would square is avoided. Equal sets are one
+representative. Members of a band are first paired with its smallest member alone;
+pairs with a hopeful estimate make families, and a family is compared on full sets
+in blocks, whose tasks return a spanning forest, never pairs. Members of a band in
+different families are estimated too, in blocks where the band is large, and what is
+hopeful is confirmed pair by pair.
 
 The chance to miss a link of similarity s is (1 - s^4)^32: at 0.85 under 1e-10, at
 0.8 under 1e-7.
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.embeddings import forest
 from scholia.llm.words import WordHashes, lower_split, shingles
 from scholia.operators.components import connected_components
 from scholia.plans.durable import durable
@@ -33,9 +36,11 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors that an estimate may lie below the threshold.
-SLACK = 6.0
-#: Members of a band in one block.
+SLACK = 5.0
+#: Members of a family or band in one block.
 BLOCK = 512
+#: Members of a band up to which its pairs are joined, not compared in blocks.
+JOINED = 24
 _SEED = np.random.default_rng(7)
 _MULTIPLY = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -136,23 +141,69 @@ def _hopeful_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> D
     return pairs.join(x, "x").join(y, "y").where(near).mapInPandas(run, "x long, y long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of hash sets, by products of slices of their incidence matrices."""
+    both = left + right
+    code = np.unique(np.concatenate(both), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    often = np.bincount(code)[code] > 1
+    code, row = np.unique(code[often], return_inverse=True)[1], row[often]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        lo, hi = np.searchsorted(code, [first, first + 4096])
+        hit = np.zeros((len(both), 4096), dtype=np.float32)
+        hit[row[lo:hi], code[lo:hi] - first] = 1
+        out += hit[: len(left)] @ hit[len(left) :].T
+    return out
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], ratio: Fraction) -> np.ndarray:
+    """Which sets are similar enough, exactly."""
+    n, m = (np.array([len(x) for x in side], dtype=np.float64) for side in (left, right))
+    both = shared_sizes(left, right).astype(np.float64)
+    return ratio.denominator * both >= ratio.numerator * (n[:, None] + m[None, :] - both)
+
+
+def _family_links(families: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
+    """Links ``(x, y)`` that span what is similar enough within families ``(node, component)``."""
+    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = (
+        families.join(sizes, "component")
+        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.col("component").alias("family"), F.col("node").alias("doc_id"), "own",
+            F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        )
+    )
+    hashes = WordHashes()
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        i, j = b["i"].iloc[0], b["j"].iloc[0]
+        sets = [shingles(hashes.of(lower_split(t)), words) for t in b["text"]]
+        rep, own = b["doc_id"].to_numpy(), b["own"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        linked = _similar([sets[k] for k in left], [sets[k] for k in right], ratio) if len(left) and len(right) else np.zeros((0, 0), bool)
+        if linked.any():
+            linked &= rep[left][:, None] != rep[right][None, :]
+        found = forest(rep[left], rep[right], linked) if linked.any() else []
+        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+
+    return dealt.join(texts, "doc_id").groupBy("family", "i", "j").applyInPandas(compare, "x long, y long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     """Of pairs ``(x, y)`` of documents, those whose full sets are similar enough."""
-    pairs = durable(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    texts = durable(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    num, den = ratio.numerator, ratio.denominator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            keep, of, last = [], None, None
-            for x, tx, ty in zip(b["x"], b["tx"], b["ty"], strict=True):
-                if x != last:
-                    of, last = shingles(hashes.of(lower_split(tx)), words), x
-                other = shingles(hashes.of(lower_split(ty)), words)
-                both = len(np.intersect1d(of, other, assume_unique=True))
-                keep.append(den * both >= num * (len(of) + len(other) - both))
+            keep = [
+                bool(_similar([shingles(hashes.of(lower_split(tx)), words)], [shingles(hashes.of(lower_split(ty)), words)], ratio))
+                for tx, ty in zip(b["tx"], b["ty"], strict=True)
+            ]
             yield b.loc[np.array(keep, dtype=bool), ["x", "y"]]
 
     return (
@@ -163,15 +214,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: Fraction) -
     )
 
 
-def _apart(members: DataFrame, threshold: float) -> DataFrame:
-    """Hopeful pairs of members of one band that are in different components, compared in blocks."""
-    sized = members.join(
-        members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "key"
-    ).where("lo <> hi")
+def _across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Hopeful pairs of members ``(key, rep, comp)`` of one band that are in different families."""
+    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sized = durable(sized.where("lo <> hi").select("key", "m"), "mixed")
+    mixed = durable(members.join(sized, "key"), "mixed")
+    few = mixed.where(F.col("m") <= JOINED).join(sketches.select("rep", "n"), "rep").select("key", "rep", "comp", "n")
+    few = durable(few, "few")
+    other = few.select("key", F.col("rep").alias("y"), F.col("comp").alias("comp_y"), F.col("n").alias("ny"))
+    joined = (
+        few.withColumnRenamed("rep", "x")
+        .join(other, "key")
+        .where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")))
+        .where(F.least("n", "ny") >= F.lit(threshold) * F.greatest("n", "ny") - F.lit(1e-9))
+        .select("x", "y")
+        .distinct()
+    )
+    joined = _hopeful_pairs(joined, sketches, threshold)
+    many = mixed.where(F.col("m") > JOINED).join(sketches, "rep")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = (
-        sized.select("key", "rep", "comp", "n", "bands", blocks.alias("blocks"), own.alias("own"))
+        many.select("key", "rep", "comp", "n", "bands", blocks.alias("blocks"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
@@ -192,7 +256,7 @@ def _apart(members: DataFrame, threshold: float) -> DataFrame:
                 found += [(min(rep[x], r), max(rep[x], r)) for r in rep[y[ok]]]
         return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "x long, y long")
+    return joined.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "x long, y long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,22 +288,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float
     )
     members = durable(keyed.join(shared, "key"), "members")
     tried = members.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct()
-    links = durable(_confirmed(_hopeful_pairs(tried, reps, limit), docs, words, ratio), "links")
-    first = durable(connected_components(links, "x", "y"), "components")
-    # Only members of a band that are still apart can add a link.
-    placed = members.join(first, F.col("rep") == F.col("node"), "left").select(
+    families = durable(connected_components(_hopeful_pairs(tried, reps, limit), "x", "y"), "families")
+    placed = members.join(families, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
-    placed = durable(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    waiting = durable(
-        placed.join(open_keys.select("key"), "key", "left_semi").join(reps.select("rep", "n", "bands"), "rep"), "waiting"
-    )
-    more = _apart(waiting, limit).distinct().join(
-        tried.select(F.col("x"), F.col("y")), ["x", "y"], "left_anti"
+    across = durable(_across(placed, reps.select("rep", "n", "bands"), limit), "across")
+    wanted = families.select(F.col("node").alias("doc_id")).union(across.select("x")).union(across.select("y")).distinct()
+    texts = durable(docs.join(durable(wanted, "wanted"), "doc_id", "left_semi"), "texts")
+    links = durable(
+        _family_links(families, texts, words, ratio).unionByName(_confirmed(across, texts, words, ratio)), "links"
     )
-    later = durable(_confirmed(more, docs, words, ratio), "links")
-    whole = durable(connected_components(links.union(later), "x", "y"), "components")
+    whole = durable(connected_components(links, "x", "y"), "components")
     named = reps.join(whole, F.col("rep") == F.col("node"), "left").select(
         F.col("n").alias("n_shingles"), "set_a", "set_b", F.coalesce("component", "rep").alias("component")
     )
