@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,14 +73,20 @@ def _templates() -> list[dict]:
 def document_grams(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with ``n_words`` and ``grams``, all k-gram hashes of the whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
-            words = [plain_words(t) for t in b["text"]]
-            grams = [_grams(w, hashes).view(np.int64) for w in words]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "n_words": [len(w) for w in words], "grams": grams})
-
-    return docs.mapInPandas(run, "doc_id long, row long, n_words long, grams array<long>")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 128):  # bounded memory for long texts
+                b = whole.slice(first, 128)
+                words = [plain_words(t.as_py()) for t in b.column("text")]
+                grams = [_grams(w, hashes) for w in words]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))), pa.int32())
+                listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("row"), pa.array([len(w) for w in words], pa.int64()), listed], ["doc_id", "row", "n_words", "grams"]
+                )
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n_words long, grams array<long>")
 
 
 def _table(spark) -> DataFrame:
