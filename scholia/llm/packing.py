@@ -107,7 +107,17 @@ def _tally(pattern: list[int]) -> dict[int, int]:
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Pack a histogram of lengths: ``(lengths of a bin, number of such bins)`` in order."""
+    """Pack a histogram of lengths: ``(lengths of a bin, number of such bins)`` in order.
+
+    Swaps spend short pieces early, which may cost bins at the end, so the plan is made
+    for several largest gaps that a swap may leave, and the one with the fewest bins wins.
+    """
+    plans = (_plan(counts, capacity, most) for most in (capacity, 64, 16, 4, 1, 0))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most_left: int) -> list[tuple[list[int], int]]:
+    """One plan, in which a swap leaves a gap of at most ``most_left``."""
     left, plan = _Lengths(counts), []
     while left.keys:
         pattern, gap = [], capacity
@@ -131,7 +141,7 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                     best = (a, b)
                     if a + b == room:
                         break
-            if best[1]:
+            if best[1] and room - sum(best) <= most_left:
                 pattern[-1:] = best
         used = _tally(pattern)
         times = min(left.n[k] // u for k, u in used.items())

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.words import WordHashes, ngrams, split
+from scholia.llm.words import WordHashes, mixed, ngrams, ranges, split
 from scholia.plans.durable import durable
 
 WINDOW, SEED_WORDS = 20, 8
@@ -80,21 +81,60 @@ def _extended(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     schema = "anchor long, extent long, n int, doc_id long, start long, again boolean, windows array<long>"
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(seed=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, powers = WordHashes(seed=1), _Powers()
         for batch in batches:
-            rows = []
-            for doc, text, found in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
-                each = ngrams(hashes.of(split(text)), window, salt=2).view(np.int64)
-                for r in found:
-                    start, n = r["run"] >> _SHIFT, r["run"] & (2**_SHIFT - 1)
-                    own = each[start : start + n]
-                    # The windows of a run name all its words.
-                    extent = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((r["anchor"], extent, n, doc, start, len(np.unique(own)) < n, own))
-            yield pd.DataFrame(rows, columns=["anchor", "extent", "n", "doc_id", "start", "again", "windows"])
-
-    return docs.join(wanted, "doc_id").mapInPandas(run, schema)
+            listed = batch.column("runs")
+            cuts = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            anchor, packed = (listed.flatten().field(k).to_numpy() for k in (0, 1))
+            start, n = packed >> _SHIFT, packed & (2**_SHIFT - 1)
+            extents, repeated, values = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                each = ngrams(hashes.of(split(text.as_py())), window, salt=2)
+                s, m = start[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
+                own = each[np.repeat(s, m) + ranges(m)]
+                values.append(own)
+                extents.append(powers.extents(each, s, m))
+                again = np.zeros(len(s), dtype=bool)
+                if len(np.unique(each)) < len(each):
+                    parts = np.split(own, np.cumsum(m)[:-1])
+                    again = np.array([len(np.unique(p)) < len(p) for p in parts])
+                repeated.append(again)
+            if values:
+                windows = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(values).view(np.int64))
+                )
+                docs_of = np.repeat(batch.column("doc_id").to_numpy(), np.diff(cuts))
+                columns = [anchor, np.concatenate(extents).view(np.int64), n.astype(np.int32), docs_of, start, np.concatenate(repeated)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), windows], ["anchor", "extent", "n", "doc_id", "start", "again", "windows"]
+                )
+
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, schema)
+
+
+class _Powers:
+    """Hashes of stretches of windows, from prefix sums of a polynomial modulo 2**64."""
+
+    BASE = 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self.up, self.down = self._table(1024)
+
+    def _table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        def powers(base: int) -> np.ndarray:
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            return np.multiply.accumulate(factors)
+
+        return powers(self.BASE), powers(pow(self.BASE, -1, 2**64))
+
+    def extents(self, each: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if len(each) > len(self.up):
+            self.up, self.down = self._table(2 * len(each))
+        sums = np.zeros(len(each) + 1, dtype=np.uint64)
+        np.cumsum(each * self.up[: len(each)], out=sums[1:])
+        return mixed((sums[start + n] - sums[start]) * self.down[start] + n.astype(np.uint64))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
