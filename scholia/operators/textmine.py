@@ -31,18 +31,19 @@ def tokens(c: str | Column, pattern: str = r"[a-zA-Z][a-zA-Z\-]{2,}", stop: Sequ
     return F.filter(found, lambda t: ~t.isin(list(stop)))
 
 
-def _joined(c: Column, n: int):
-    return lambda i: F.array_join(F.slice(c, i, n), " ")
-
-
 def ngrams(c: str | Column, low: int, high: int) -> Column:
-    """TXT-03: all runs of ``low`` to ``high`` tokens, joined by spaces."""
+    """TXT-03: all runs of ``low`` to ``high`` tokens, joined by spaces.
+
+    Shifted copies of the list are zipped, so ``c`` is evaluated once a shift, not once a token.
+    """
     c = F.col(c) if isinstance(c, str) else c
     parts = []
     for n in range(low, high + 1):
-        at = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _joined(c, n)))
-    return F.flatten(F.array(*parts))
+        runs = c
+        for k in range(1, n):
+            runs = F.zip_with(runs, F.slice(c, k + 1, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        parts.append(F.filter(runs, lambda g: g.isNotNull()))
+    return F.concat(*parts)
 
 
 def kept_token(c: Column, banned: Sequence[str], allowed: Sequence[str] = (), least: int = 3) -> Column:
