@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.llm import decontamination, embeddings, lattice, licences, minhash, packing, pii, quality, sharding, substring
+from scholia.llm import decontamination, embeddings, lattice, licences, minhash, oracles, packing, pii, quality, sharding, substring
 from scholia.sources.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,4 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+#: The others rest on learned weights, a tokenizer, alignments or random draws, and are
+#: tested against plain versions, round trips and held-out documents.
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
+    "op7_minhash_near_dedup": oracles.OP7,
+}

@@ -89,6 +89,8 @@ def hopeful(k_u: np.ndarray, k_v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray,
     cut = threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     out = np.zeros(len(n_u), dtype=bool)
     at = np.flatnonzero(fits)
+    # Registers are equal about as often as the sets are similar; most pairs end here.
+    at = at[(k_u[at] == k_v[at]).mean(axis=1) >= cut - 0.04]
     for i in range(0, len(at), 4096):
         k = at[i : i + 4096]
         out[k] = estimate(k_u[k], k_v[k], n_u[k].astype(float), n_v[k].astype(float)) >= cut
@@ -256,6 +258,9 @@ def _across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
                 found += [(min(rep[x], r), max(rep[x], r)) for r in rep[y[ok]]]
         return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
+    # Blocks are few bytes and much work, so they are dealt widely.
+    parts = 4 * int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "key", "i", "j")
     return joined.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(compare, "x long, y long")).distinct()
 
 
@@ -294,7 +299,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float
     )
     across = durable(_across(placed, reps.select("rep", "n", "bands"), limit), "across")
     wanted = families.select(F.col("node").alias("doc_id")).union(across.select("x")).union(across.select("y")).distinct()
-    texts = durable(docs.join(durable(wanted, "wanted"), "doc_id", "left_semi"), "texts")
+    # One plan at every size: a merge join, whose sides spill.
+    texts = durable(docs.join(durable(wanted, "wanted").hint("merge"), "doc_id", "left_semi"), "texts")
     links = durable(
         _family_links(families, texts, words, ratio).unionByName(_confirmed(across, texts, words, ratio)), "links"
     )
