@@ -80,6 +80,16 @@ def merge_csv(spark: SparkSession, folder: str) -> DataFrame:
     return union_drifting([f for f in (spark.read.csv(p, header=True) for p in sorted(files)) if f.columns])
 
 
+def read_excel(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """SRC-09: a workbook's first sheet by its index column, through pandas; needs ``openpyxl``. For small files."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading workbooks needs openpyxl; convert them to Parquet once") from e
+    frame = pd.read_excel(path, index_col=0)
+    return spark.createDataFrame(frame[list(columns)] if columns else frame)
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-15: JSON lines; lines that cannot be read are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -19,6 +19,22 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
+def write_excel(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """SNK-05: a small table as a workbook; needs ``openpyxl`` and refuses more than ``most`` rows."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("writing workbooks needs openpyxl; use write_csv or write_parquet") from e
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a workbook takes at most {most} rows")
+    df.toPandas().to_excel(path)
+
+
+def save_model(model, path: str) -> None:
+    """SNK-11: a fitted ``pyspark.ml`` model."""
+    model.write().overwrite().save(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """SNK-07: results as JSON lines, which ``read_log`` resumes from."""
     df.write.mode("append").json(path)
