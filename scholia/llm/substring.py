@@ -83,32 +83,9 @@ def _extended(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(seed=1), _Powers()
-        for batch in batches:
-            listed = batch.column("runs")
-            cuts = listed.offsets.to_numpy() - listed.offsets[0].as_py()
-            anchor, packed = (listed.flatten().field(k).to_numpy() for k in (0, 1))
-            start, n = packed >> _SHIFT, packed & (2**_SHIFT - 1)
-            extents, repeated, values = [], [], []
-            for k, text in enumerate(batch.column("text")):
-                each = ngrams(hashes.of(split(text.as_py())), window, salt=2)
-                s, m = start[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
-                own = each[np.repeat(s, m) + ranges(m)]
-                values.append(own)
-                extents.append(powers.extents(each, s, m))
-                again = np.zeros(len(s), dtype=bool)
-                if len(np.unique(each)) < len(each):
-                    parts = np.split(own, np.cumsum(m)[:-1])
-                    again = np.array([len(np.unique(p)) < len(p) for p in parts])
-                repeated.append(again)
-            if values:
-                windows = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(values).view(np.int64))
-                )
-                docs_of = np.repeat(batch.column("doc_id").to_numpy(), np.diff(cuts))
-                columns = [anchor, np.concatenate(extents).view(np.int64), n.astype(np.int32), docs_of, start, np.concatenate(repeated)]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), windows], ["anchor", "extent", "n", "doc_id", "start", "again", "windows"]
-                )
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):  # bounded memory for long texts
+                yield _extend(whole.slice(first, 512), window, hashes, powers)
 
     return docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
@@ -137,6 +114,33 @@ class _Powers:
         return mixed((sums[start + n] - sums[start]) * self.down[start] + n.astype(np.uint64))
 
 
+def _extend(batch: pa.RecordBatch, window: int, hashes: WordHashes, powers: _Powers) -> pa.RecordBatch:
+    """The runs of some documents with their extents and windows."""
+    listed = batch.column("runs")
+    cuts = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+    anchor, packed = (listed.flatten().field(k).to_numpy() for k in (0, 1))
+    start, n = packed >> _SHIFT, packed & (2**_SHIFT - 1)
+    extents, repeated, values = [], [], []
+    for k, text in enumerate(batch.column("text")):
+        each = ngrams(hashes.of(split(text.as_py())), window, salt=2)
+        s, m = start[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
+        own = each[np.repeat(s, m) + ranges(m)]
+        values.append(own)
+        extents.append(powers.extents(each, s, m))
+        again = np.zeros(len(s), dtype=bool)
+        if len(np.unique(each)) < len(each):
+            again = np.array([len(np.unique(p)) < len(p) for p in np.split(own, np.cumsum(m)[:-1])])
+        repeated.append(again)
+    windows = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(values).view(np.int64))
+    )
+    docs_of = np.repeat(batch.column("doc_id").to_numpy(), np.diff(cuts))
+    columns = [anchor, np.concatenate(extents).view(np.int64), n.astype(np.int32), docs_of, start, np.concatenate(repeated)]
+    return pa.RecordBatch.from_arrays(
+        [*map(pa.array, columns), windows], ["anchor", "extent", "n", "doc_id", "start", "again", "windows"]
+    )
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """``doc_id, start, n``: ``n`` windows from word ``start`` on that occur earlier in the corpus."""
     anchors = _anchors(docs, window, seed_words)

@@ -12,8 +12,8 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
-#: Words a worker remembers, about 60 MB; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Words a worker remembers, about 50 MB; the memory is emptied when it is full.
+REMEMBERED = 250_000
 _ODD = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -52,15 +52,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(_ODD, k, 2**64))
+
+
 def ngrams(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of ``n`` words, by its first word; empty if there are fewer."""
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = words[:m] + np.uint64(salt)
-    for k in range(1, n):
-        out = out * np.uint64(_ODD) + words[k : k + m]
-    return mixed(out)
+    # Runs of 2, 4, 8, ... words, put together by the bits of n.
+    out, have = None, 0
+    part, size = words, 1
+    while True:
+        if n & size:
+            out, have = (part, size) if out is None else (part[: len(part) - have] * _power(have) + out[size:], have + size)
+        if 2 * size > n:
+            break
+        part = part[:-size] * _power(size) + part[size:]
+        size *= 2
+    return mixed(out[:m] + np.uint64(salt * pow(_ODD, n - 1, 2**64) % 2**64))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
