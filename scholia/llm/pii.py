@@ -47,9 +47,14 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "name": rf"\b(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?|\b(?:{_GIVEN})\x20{_NAME}",
+    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_WORDLIKE, _NUMERIC = ("email", "secret", "iban", "name"), ("phone", "ssn", "ip", "card")
+#: One pattern for all; within words and away from digits it fails after a look at one character.
+ANY = (
+    r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{PATTERNS[t]})" for t in _WORDLIKE) + ")"
+    r"|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[t]})" for t in _NUMERIC) + ")"
+)
 
 
 def _hex(kind: Column, value: Column, draw: Column, key: str, part: int = 0) -> Column:
