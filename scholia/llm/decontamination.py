@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.words import WordHashes, ngrams
+from scholia.llm.words import WordHashes, alphanumeric_words, ngrams
 from scholia.plans.durable import durable
 
 SEED_WORDS = 3
@@ -33,14 +33,11 @@ THRESHOLD = 0.5
 MISMATCH, GAP = -0.5, 0.5
 #: Words of benchmark items held by a worker at a time.
 BLOCK_WORDS = 1_000_000
-_KEEP = bytes(
-    (c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256)
-)
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    """Words of ASCII letters, digits and non-ASCII characters, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
+    """Lower-cased words of ASCII letters, digits and non-ASCII characters; copies in capitals have the same words."""
+    return alphanumeric_words(text.lower()) if text else []
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> tuple[float, int, int]:
@@ -88,6 +85,8 @@ class Items:
     at: np.ndarray
 
     def __post_init__(self):
+        self.sizes = np.array([len(w) for w in self.words])
+        self.gram_sizes = sorted({min(SEED_WORDS, n) for n in self.sizes.tolist()})
         self.filter = np.zeros(2**20, dtype=bool)
         self.filter[(self.seeds & np.uint64(2**20 - 1)).astype(np.int64)] = True
 
@@ -104,18 +103,31 @@ def _blocks(items: list[tuple[int, list[bytes]]], block_words: int) -> Iterator[
         yield block
 
 
+class _Places(WordHashes):
+    """Place of a word's hash in a sorted array; its length for other words."""
+
+    def __init__(self, wanted: np.ndarray):
+        super().__init__()
+        self.place = {int(h): k for k, h in enumerate(wanted)}
+
+    def __missing__(self, word: bytes) -> int:
+        value = self.place.get(super().__missing__(word), len(self.place))
+        self[word] = value
+        return value
+
+
 def _corpus_counts(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
     """Occurrences of the ``wanted`` (sorted) word hashes in all documents, and the number of all words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        counts, total = np.zeros(len(wanted), dtype=np.int64), 0
+        places = _Places(wanted)
+        counts, total = np.zeros(len(wanted) + 1, dtype=np.int64), 0
         for b in batches:
-            for text in b["text"]:
-                w = hashes.of(plain_words(text))
-                total += len(w)
-                at = np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)
-                counts += np.bincount(at[wanted[at] == w], minlength=len(wanted))
+            for i in range(0, len(b), 64):
+                at = np.concatenate([places.of(plain_words(t)) for t in b["text"].iloc[i : i + 64]])
+                total += len(at)
+                counts += np.bincount(at.astype(np.int64), minlength=len(counts))
+        counts = counts[:-1]
         some = np.flatnonzero(counts)
         yield pd.DataFrame({"k": np.append(some, -1), "n": np.append(counts[some], total)})
 
@@ -154,7 +166,7 @@ def _prepare(docs: DataFrame, block: list[tuple[int, list[bytes]]]) -> Items:
 def _candidates(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """``(item, from, to, seeds)``: passages with enough seeds of an item about one diagonal."""
     found = []
-    for n in {min(SEED_WORDS, len(w)) for w in items.words}:
+    for n in items.gram_sizes:
         grams = ngrams(words, n)
         pos = np.flatnonzero(items.filter[(grams & np.uint64(2**20 - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(items.seeds, grams[pos], "left"), np.searchsorted(items.seeds, grams[pos], "right")
@@ -163,12 +175,12 @@ def _candidates(words: np.ndarray, items: Items) -> list[tuple[int, int, int, in
             continue
         doc_at = np.repeat(pos, reps)
         k = np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        fits = np.array([min(SEED_WORDS, len(items.words[i])) == n for i in items.of[k]])
+        fits = np.minimum(SEED_WORDS, items.sizes[items.of[k]]) == n
         doc_at, k = doc_at[fits], k[fits]
         item, diagonal = items.of[k], doc_at - items.at[k]
         order = np.lexsort((diagonal, item))
         item, diagonal, at = item[order], diagonal[order], items.at[k][order]
-        size = np.array([len(items.words[i]) for i in item])
+        size = items.sizes[item]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2 + 4)) + 1
         for g in np.split(np.arange(len(item)), cut):
             if not len(g):

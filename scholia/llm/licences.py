@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scholia.llm.decontamination import plain_words
-from scholia.llm.words import WordHashes, ngrams
+from scholia.llm.words import WordHashes, alphanumeric_words, ngrams
 
 #: Phrases, and the label of each.
 PHRASES = {
@@ -78,7 +77,7 @@ def document_grams(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for first in range(0, whole.num_rows, 128):  # bounded memory for long texts
                 b = whole.slice(first, 128)
-                words = [plain_words(t.as_py()) for t in b.column("text")]
+                words = [alphanumeric_words(t.as_py()) for t in b.column("text")]
                 grams = [_grams(w, hashes) for w in words]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))), pa.int32())
                 listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams).view(np.int64)))

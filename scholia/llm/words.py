@@ -45,6 +45,28 @@ def lower_split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_KEEP = bytes(
+    (c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256)
+)
+
+
+def alphanumeric_words(text: str | None) -> list[bytes]:
+    """Words of ASCII letters, digits and non-ASCII characters, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
+
+
+def slices(texts: list[str | None], most: int = 400_000) -> list[tuple[int, int]]:
+    """Row ranges of about ``most`` characters, at least one row each, for bounded memory."""
+    out, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > first and size + n > most:
+            out.append((first, i))
+            first, size = i, 0
+        size += n
+    return [*out, (first, len(texts))] if len(texts) else []
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every bit."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1

@@ -104,6 +104,9 @@ def test_decontamination_finds_copies_and_edits_alone(spark):
         host = docs[k][1].split()
         planted[2000 + k] = i
         docs.append((2000 + k, " ".join(host[:40] + words + host[40:])))
+    planted[2100] = 76
+    items.append((76, "Éai éonleeau pour an éonqueê aivi ai, éenaitreoiaux éoiré anvitre èenreré èéèquepaè le"))
+    docs.append((2100, f"{docs[0][1]} {items[-1][1].upper()} {docs[1][1]}"))
     docs += EDGES
     bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "a b c")], "item_id long, text string")
     for block in (10**6, 100):
