@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.words import ranges, slices
+
 PASSAGE = 384
 FIT_DOCUMENTS, FIT_PASSAGES = 6_000, 64
 HIDDEN, GATE = 24, 12
@@ -29,7 +31,7 @@ _CLASSES = 12
 
 
 def _class_of_bytes() -> np.ndarray:
-    out = np.full(256, 11, dtype=np.int64)  # other punctuation
+    out = np.full(256, 11, dtype=np.uint8)  # other punctuation
     for k, chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", b".", b",;:", b"!?", b"'\"()-")):
         out[list(chars)] = k
     out[128:] = 9
@@ -52,11 +54,10 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if sizes.sum():
         whole = np.frombuffer(b"".join(raw), dtype=np.uint8)
         kind = _CLASS[whole]
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        passage = np.repeat(first, sizes) + (np.arange(len(whole)) - start) // PASSAGE
-        pair = kind[:-1] * _CLASSES + kind[1:]
-        same = passage[:-1] == passage[1:]
-        counts = np.bincount(passage[:-1][same] * (_CLASSES**2) + pair[same], minlength=len(x) * _CLASSES**2)
+        passage = np.repeat(first.astype(np.int32), sizes) + (ranges(sizes) // PASSAGE).astype(np.int32)
+        cell = passage[:-1] * np.int64(_CLASSES**2) + (kind[:-1] * np.uint8(_CLASSES) + kind[1:])
+        counts = np.bincount(cell[passage[:-1] == passage[1:]], minlength=len(x) * _CLASSES**2)
+        del cell
         x[:, : _CLASSES**2] = counts.reshape(len(x), -1)
         filled = np.bincount(passage, minlength=len(x)).astype(np.float32)
         x[:, : _CLASSES**2] /= np.maximum(filled, 1)[:, None]
@@ -68,8 +69,8 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             at = passage[: len(run)][inside]
             code = (run[inside] >> np.uint64(24)).astype(np.int64)
             document = np.repeat(np.arange(len(raw)), sizes)[: len(run)][inside]
-            for column, group in ((-3, at), (-2, document)):
-                key = (group << 40) ^ code if len(raw) < 2**20 else code
+            for column, group in ((-3, at.astype(np.int64)), (-2, document)):
+                key = (group << 40) ^ code
                 order = np.argsort(key, kind="stable")
                 again = np.zeros(len(key), dtype=bool)
                 again[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -162,11 +163,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x, bags = encode(b["text"].tolist())
+            for i, j in slices(b["text"].tolist()):
+                part = b.iloc[i:j]
+                x, bags = encode(part["text"].tolist())
                 ends = np.cumsum(bags)
                 parts = [x[e - n : e][:FIT_PASSAGES].astype("<f4").tobytes() for e, n in zip(ends, bags, strict=True)]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": parts})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": parts})
 
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -197,12 +199,10 @@ def score_quality(docs: DataFrame, model: AttentionScorer | None, keep: bool = F
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            score = np.full(len(b), 0.5)
-            for i in range(0, len(b), 512):  # bounded memory for long texts
-                if model is not None:
-                    x, bags = encode(b["text"].iloc[i : i + 512].tolist())
-                    score[i : i + 512] = model.score(x, bags)
-            yield b[[f.name for f in fields]].assign(_score=score)
+            for i, j in slices(b["text"].tolist()):
+                part = b.iloc[i:j]
+                score = model.score(*encode(part["text"].tolist())) if model is not None else 0.5
+                yield part[[f.name for f in fields]].assign(_score=score)
 
     scored = source.mapInPandas(run, StructType([*fields, StructField("_score", DoubleType())]))
     if keep:
