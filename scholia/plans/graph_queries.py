@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.operators import graph, hierarchy, textmine, vectors
+from scholia.plans.durable import durable
 from scholia.plans.registry import Registry, Tables
 
 REGISTRY = Registry()
@@ -165,9 +166,80 @@ def ari(t: Tables) -> DataFrame:
     return graph.adjusted_rand(t.embeddings.withColumn("b", F.col("vec_id") % 4), "label", "b").select(F.round("ari", 8).alias("ari"))
 
 
+def parts(t: Tables) -> DataFrame:
+    """Parts of orders by their own number: the whole graph of the table."""
+    return t.lineitem.select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("item"))
+
+
+def part_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All pairs of parts, kept for the reads that follow, and all parts of orders."""
+    rows = parts(t)
+    return durable(graph.pairs(rows, "g", "item"), "pairs"), rows.select(F.col("item").alias("node")).distinct()
+
+
+def part_sizes(t: Tables) -> DataFrame:
+    """Parts of orders with their size as the community."""
+    sizes = t.part.select(F.col("p_partkey").alias("item"), F.col("p_size").cast("int").alias("community"))
+    return parts(t).select("item").distinct().join(sizes, "item").withColumnRenamed("item", "node")
+
+
+PART_SIZES = "pt AS (SELECT DISTINCT item AS node, p_size::INT AS community FROM li JOIN part ON p_partkey = item)"
+
+
+def unfolded(name: str) -> str:
+    """The SQL of a query over folded parts, over the parts themselves and with part sizes as communities."""
+    return REGISTRY.oracles[name].replace(LISTED, LISTED.replace(" % 60", "")).replace(PARTITION, PART_SIZES)
+
+
+@query("pair_cooccurrence_parts", unfolded("pair_cooccurrence").replace(" WHERE weight >= 2", ""))
+def pair_cooccurrence_parts(t: Tables) -> DataFrame:
+    return graph.pairs(parts(t), "g", "item")
+
+
+@query("npmi_edges_parts", unfolded("npmi_edges"))
+def npmi_edges_parts(t: Tables) -> DataFrame:
+    rows = parts(t)
+    groups = rows.agg(F.count_distinct("g").alias("n_groups"))
+    found = graph.pmi(graph.pairs(rows, "g", "item"), graph.item_counts(rows, "g", "item"), groups)
+    return graph.over_threshold(found, 0.01, "pmi").withColumn("pmi", F.round("pmi", 6))
+
+
+#: Without SQL: reachability over all pairs is too slow for recursive SQL; tests search plainly.
+@query("network_summary_parts")
+def network_summary_parts(t: Tables) -> DataFrame:
+    made = graph.network_summary(*part_graph(t))
+    return made.withColumns({c: F.round(c, 6) for c in ("giant_fraction", "mean_degree", "density")})
+
+
+@query("degree_stats_parts", unfolded("degree_stats").replace(" WHERE weight > (SELECT quantile_disc(weight, 0.97) FROM pr)", ""))
+def degree_stats_parts(t: Tables) -> DataFrame:
+    return graph.degrees(*part_graph(t))
+
+
+@query("community_rollup_parts", unfolded("community_rollup"))
+def community_rollup_parts(t: Tables) -> DataFrame:
+    sizes, between = graph.community_graph(part_graph(t)[0], part_sizes(t))
+    return graph.collapsed(sizes, between, 3)[0]
+
+
+@query("community_between_parts", unfolded("community_between"))
+def community_between_parts(t: Tables) -> DataFrame:
+    return graph.community_graph(part_graph(t)[0], part_sizes(t))[1]
+
+
+@query("community_summary_parts", unfolded("community_summary"))
+def community_summary_parts(t: Tables) -> DataFrame:
+    return graph.community_summary(part_sizes(t), graph.item_counts(parts(t), "g", "item"), 4)
+
+
+@query("modularity_parts", unfolded("modularity"))
+def modularity_parts(t: Tables) -> DataFrame:
+    return graph.modularity(part_graph(t)[0], part_sizes(t)).select(F.round("modularity", 8).alias("modularity"))
+
+
 @query("louvain_communities")
 def louvain_communities(t: Tables) -> DataFrame:
-    return graph.louvain(strong(t)[0])
+    return graph.louvain(part_graph(t)[0])
 
 
 TERMS = r"tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}') AS ts FROM documents)"
