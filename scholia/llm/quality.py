@@ -7,9 +7,9 @@ much of it repeats itself or earlier passages. A learned layer turns that into a
 hidden vector, gated attention weighs the passages, and a logistic unit scores the
 weighted sum. All weights are learned together from document labels by Adam.
 
-The fit uses a bounded sample (``FIT_DOCUMENTS`` labelled documents, the smallest
-by a hash of their ids, and ``FIT_PASSAGES`` passages of each); scoring reads every
-passage of every document. Label, language, source and id are never inputs.
+The fit uses a bounded sample of labelled documents, ``FIT_DOCUMENTS`` with the
+smallest hashes of their ids, and every passage of each; scoring reads every passage
+of every document. Label, language, source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scholia.llm.words import ranges, slices
 
 PASSAGE = 384
-FIT_DOCUMENTS, FIT_PASSAGES = 6_000, 64
+FIT_DOCUMENTS = 6_000
 HIDDEN, GATE = 24, 12
 THRESHOLD = 0.3
 _CLASSES = 12
@@ -109,7 +109,7 @@ class AttentionScorer:
 
     def fit(self, x: np.ndarray, bags: np.ndarray, labels: np.ndarray, epochs: int = 25, rate: float = 0.01, batch: int = 64, decay: float = 1e-4, seed: int = 5) -> AttentionScorer:
         draw = np.random.default_rng(seed)
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 0.01
+        self.mean, self.spread = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 0.01
         first = np.cumsum(bags) - bags
         share = np.clip(labels.mean(), 0.01, 0.99)
         self.p["d"][:] = np.log(share / (1 - share))
@@ -121,7 +121,7 @@ class AttentionScorer:
             for i in range(0, len(order), batch):
                 at = order[i : i + batch]
                 rows = np.concatenate([np.arange(first[k], first[k] + bags[k]) for k in at])
-                grad = self._gradient(x[rows], bags[at], labels[at])
+                grad = self._gradient(x[rows].astype(np.float64), bags[at], labels[at])
                 step += 1
                 pace = rate * (1 - epoch / epochs) + 1e-4
                 for k, g in grad.items():
@@ -167,7 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
                 part = b.iloc[i:j]
                 x, bags = encode(part["text"].tolist())
                 ends = np.cumsum(bags)
-                parts = [x[e - n : e][:FIT_PASSAGES].astype("<f4").tobytes() for e, n in zip(ends, bags, strict=True)]
+                parts = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, bags, strict=True)]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": parts})
 
     rows = (
@@ -182,7 +182,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         return None
     parts = [np.frombuffer(r, dtype="<f4").reshape(-1, WIDTH) for r in rows["x"]]
     return AttentionScorer().fit(
-        np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts]), (rows["label"].to_numpy() > 0).astype(float)
+        np.concatenate(parts), np.array([len(p) for p in parts]), (rows["label"].to_numpy() > 0).astype(float)
     )
 
 

@@ -152,6 +152,19 @@ def test_quality_learns_from_documents_that_are_not_held_out(spark):
     assert quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0))).where("score <> 0.5").count() == 0
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionScorer, "fit", lambda self, x, bags, labels: seen.append((x, bags, labels)) or self)
+    texts = {i: "A plain sentence. " * (10 + 1800 * (i % 2)) + "#@!% " * (400 * (i % 2)) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    quality.fit_quality(docs, docs.selectExpr("doc_id", "1 - doc_id % 2 as quality"))
+    known = [i for i in sorted(texts) if crc32(str(i).encode()) % 5]
+    x, bags = quality.encode([texts[i] for i in known])
+    assert max(bags) > 80
+    ((got, got_bags, labels),) = seen
+    assert list(got_bags) == list(bags) and np.allclose(got, x) and list(labels) == [1.0 - i % 2 for i in known]
+
+
 def test_attention_gradient():
     draw = np.random.default_rng(0)
     bags, labels = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0])
