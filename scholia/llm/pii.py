@@ -14,6 +14,7 @@ only the others meet the table.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from scholia.plans.durable import durable
 
 KEY = "scholia"
-#: Draws of a surrogate before an entity gets a numbered tag instead.
+#: Draws of a surrogate before an entity other than a name gets a tag instead.
 DRAWS = 8
 
 #: Given names and family names by script, and titles by gender.
@@ -32,6 +33,9 @@ FAMILY = "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor
 MALE_CYRILLIC = "Иван Пётр Сергей Алексей Дмитрий Николай Михаил Андрей Павел Виктор".split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split()
 FAMILY_CYRILLIC = "Иваненко Петренко Шевченко Коваленко Бондаренко Ткаченко Кравченко Олейник Мельник Бойко Лысенко Марченко Савченко Руденко Левченко Гончар".split()
+#: Syllables of two letters, of which further family names are made.
+SYLLABLES = "".join(c + v for c in "bdfgklmnprstvz" for v in "aeiou")[:128]
+SYLLABLES_CYRILLIC = "".join(c + v for c in "бвгдзклмнпрст" for v in "аеиоу")[:128]
 MALE_TITLES = "Mr Herr Monsieur Señor Sir".split()
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mademoiselle Señora Señorita".split()
 
@@ -71,6 +75,12 @@ def _pick(values: list[str], hexes: Column, start: int) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
+def _syllables(letters: str, hexes: Column, n: int) -> Column:
+    """A made-up name of ``n`` syllables."""
+    at = lambda i: F.pmod(F.conv(F.substring(hexes, 2 * (i % 32) + 1, 2), 16, 10).cast("int"), F.lit(len(letters) // 2))
+    return F.initcap(F.concat(*[F.substr(F.lit(letters), 2 * at(i) + 1, F.lit(2)) for i in range(n)]))
+
+
 def _mapped(value: Column, hexes: Column) -> Column:
     """The value with digits, small and capital letters replaced in kind; other characters stay."""
     plain = F.filter(F.split(value, ""), lambda c: c != "")
@@ -126,7 +136,8 @@ def gender_of(mention: Column) -> Column:
     )
 
 
-def _surrogate(kind: Column, value: Column, gender: Column, draw: Column, key: str) -> Column:
+def _surrogate(kind: Column, value: Column, gender: Column, turn: int, key: str) -> Column:
+    draw = F.lit(turn)
     h, h2 = _hex(kind, value, draw, key), _hex(kind, value, draw, key, 1)
     digits = F.concat(_digits(h), _digits(h2))
     size = F.length(value)
@@ -147,8 +158,11 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: Column, key: s
         .otherwise(_pick([*MALE, *FEMALE], h, 1))
     )
     family = F.when(cyrillic, _pick(FAMILY_CYRILLIC, h, 9)).otherwise(_pick(FAMILY, h, 9))
-    # From the second draw on a second family name widens the choice.
-    more = F.when(draw > 0, F.concat(F.lit("-"), F.when(cyrillic, _pick(FAMILY_CYRILLIC, h, 17)).otherwise(_pick(FAMILY, h, 17)))).otherwise("")
+    # From the second draw on a second family name, a syllable longer each time, widens the choice 64-fold a draw.
+    more = F.lit("")
+    if turn:
+        made = F.when(cyrillic, _syllables(SYLLABLES_CYRILLIC, h2, turn + 1)).otherwise(_syllables(SYLLABLES, h2, turn + 1))
+        more = F.concat(F.lit("-"), made)
     name = F.when(value.contains(" "), F.concat(given, F.lit(" "), family, more)).otherwise(F.concat(family, more))
     return (
         F.when(kind == "card", card)
@@ -166,13 +180,18 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, value, surrogate`` of distinct entities ``kind, value, gender``, one surrogate each.
 
     No two entities of a kind share a surrogate and no surrogate is an entity of the
-    corpus. Entities that find none in ``DRAWS`` draws get a numbered tag.
+    corpus. Names are drawn from a choice that grows until each has one; entities of
+    other kinds, whose layout bounds the choice, get a tag after ``DRAWS`` draws.
     """
     entities = durable(entities, "entities")
     done, rest = None, entities
     taken = entities.select("kind", F.col("value").alias("surrogate"))
-    for draw in range(DRAWS):
-        drawn = rest.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.lit(draw), key))
+    tag = F.concat(F.lit("["), F.upper("kind"), F.lit("-"), F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256), F.lit("]"))
+    for draw in count():
+        if draw == DRAWS:
+            done = done.unionByName(rest.where("kind <> 'name'").select("kind", "value", tag.alias("surrogate")))
+            rest = rest.where("kind = 'name'")
+        drawn = rest.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), draw, key))
         first = Window.partitionBy("kind", "surrogate").orderBy("value")
         ranked = drawn.withColumn("_rank", F.row_number().over(first)).join(
             taken.distinct().withColumn("_taken", F.lit(True)), ["kind", "surrogate"], "left"
@@ -185,8 +204,6 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
         rest = ranked.where(~good).select("kind", "value", "gender")
         if rest.isEmpty():
             return done
-    tag = F.concat(F.lit("["), F.upper("kind"), F.lit("-"), F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256), F.lit("]"))
-    return done.unionByName(rest.select("kind", "value", tag.alias("surrogate")))
 
 
 def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:

@@ -229,6 +229,19 @@ def test_surrogates_of_different_entities_differ(spark):
     assert not {(r["kind"], r["surrogate"]) for r in found} & {(k, v) for k, v, _ in rows}
 
 
+def test_every_name_gets_a_name_of_its_kind(spark):
+    word = lambda k, first: chr(first - 32) + "".join(chr(first + k // 20**i % 20) for i in range(3))
+    rows = [(f"X{word(k, 97).lower()}", None) for k in range(3000)] + [(word(k, 0x430), None) for k in range(1500)]
+    rows += [(f"Анна {word(k, 0x430)}", "f") for k in range(4000)]
+    found = pii.surrogate_table(spark.createDataFrame([("name", *r) for r in rows], "kind string, value string, gender string"))
+    new = {r["value"]: r["surrogate"] for r in found.collect()}
+    assert len(new) == len(set(new.values())) == len(rows) and not set(new) & set(new.values())
+    part = {True: r"[А-ЯЁ][а-яё]+(-[А-ЯЁ][а-яё]+)?", False: r"[A-Z][a-z]+(-[A-Z][a-z]+)?"}
+    for value, gender in rows:
+        given, _, family = new[value].rpartition(" ")
+        assert re.fullmatch(part[value[0] > "z"], family) and (given in pii.FEMALE_CYRILLIC if gender else not given)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
