@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,31 @@ SURE_MARKS = {"주식회사": "KR", "산학협력단": "KR", "재단법인": "KR
 LIKELY_MARKS = {r"\binc\.?\b": "US", r"\bllc\b": "US", r"\bltd\b": "GB", r"\bsa\b": "FR"}
 
 
+_ISO: list[tuple[str, str, str]] = []
+
+
+def iso_countries(spark: SparkSession | None = None) -> list[tuple[str, str, str]]:
+    """Two- and three-letter code and English name of every country in the Java runtime's ISO 3166 table."""
+    if not _ISO:
+        session = spark or SparkSession.getActiveSession()
+        if session is None:
+            raise RuntimeError("countries come from the session's Java runtime; start a session first")
+        util = session.sparkContext._jvm.java.util
+        for code in util.Locale.getISOCountries():
+            place = util.Locale.Builder().setRegion(code).build()
+            _ISO.append((code, place.getISO3Country(), place.getDisplayCountry(util.Locale.ENGLISH)))
+    return _ISO
+
+
+def country_names() -> dict[str, str]:
+    """Upper-case names and their two-letter codes; the fixed names come before the ISO table's."""
+    return {name.upper(): code for code, _, name in iso_countries()} | COUNTRY_NAMES
+
+
+def three_letter_codes() -> dict[str, str]:
+    return {three: code for code, three, _ in iso_countries() if three} | THREE_LETTERS
+
+
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -44,20 +69,23 @@ def iso2(c: str | Column) -> Column:
 
     Nearest is by edit distance within a fifth of the longer name.
     """
+    names, threes = country_names(), three_letter_codes()
+    table = _map(names)
     s = F.trim(_c(c))
     key = F.upper(s)
     tokens = F.split(key, r"[,;/\-()\s]+")
-    by_token = F.get(F.filter(F.transform(tokens, lambda t: F.try_element_at(_map(COUNTRY_NAMES), t)), lambda x: x.isNotNull()), 0)
+    by_token = F.get(F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()), 0)
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i in names.items()])
     near = F.array_min(
         F.filter(
-            F.array(*[F.struct(F.levenshtein(key, F.lit(n)).alias("d"), F.lit(len(n)).alias("n"), F.lit(i).alias("i")) for n, i in COUNTRY_NAMES.items()]),
+            F.transform(known, lambda e: F.struct(F.levenshtein(key, e.n).alias("d"), F.length(e.n).alias("n"), e.i.alias("i"))),
             lambda e: e.d <= 0.2 * F.greatest(e.n, F.length(key)),
         )
     )
     return (
         F.when(s.rlike(r"^\p{L}{2}$"), key)
-        .when(s.rlike(r"^\p{L}{3}$") & F.try_element_at(_map(THREE_LETTERS), key).isNotNull(), F.try_element_at(_map(THREE_LETTERS), key))
-        .when(s != "", F.coalesce(F.try_element_at(_map(COUNTRY_NAMES), key), by_token, near["i"]))
+        .when(s.rlike(r"^\p{L}{3}$") & F.try_element_at(_map(threes), key).isNotNull(), F.try_element_at(_map(threes), key))
+        .when(s != "", F.coalesce(F.try_element_at(table, key), by_token, near["i"]))
     )
 
 

@@ -95,13 +95,14 @@ def recoded(c: str, values: Mapping[str, str], keep: bool = True) -> Column:
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], start: int = 0, stop: int | None = None) -> DataFrame:
-    """PRJ-16: rows ``start:stop`` of an order, negative positions counted from the end."""
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    low = F.lit(start) if start >= 0 else F.col("_n") + start
-    high = F.col("_n") if stop is None else F.lit(stop) if stop >= 0 else F.col("_n") + stop
-    out = df.withColumns({"_at": at, "_n": n})
-    return out.where((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at", "_n")
+    """PRJ-16: rows ``start:stop`` of an order, negative positions counted from the end; ranges are numbered apart."""
+    from scholia.operators.dedup import dense_numbers
+
+    numbered = dense_numbers(df, order, "_at")
+    n = numbered.count() if min(start, stop or 0) < 0 else 0
+    low, high = (start + n * (start < 0)), None if stop is None else stop + n * (stop < 0)
+    out = numbered.where(F.col("_at") >= low)
+    return (out if high is None else out.where(F.col("_at") < high)).drop("_at")
 
 
 def filled_text(c: str | Column) -> Column:
@@ -116,6 +117,48 @@ def valid_year(c: str | Column, low: int = 1900, high: int = 2035) -> Column:
     return F.when(year.between(low, high), year)
 
 
+def within_years(df: DataFrame, year: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """FLT-05: rows from a first to a last year, either of which may be open; a null year is in neither."""
+    bounds = [F.col(year) >= low] * (low is not None) + [F.col(year) <= high] * (high is not None)
+    for b in bounds:
+        df = df.where(b)
+    return df
+
+
+def positive(df: DataFrame, *measures: str) -> DataFrame:
+    """FLT-07: rows on which every measure is over zero."""
+    for m in measures:
+        df = df.where(F.col(m) > 0)
+    return df
+
+
+def split_label(test: Column, yes: str, no: str) -> Column:
+    """PRJ-12: one of two labels; an unknown test is no."""
+    return F.when(test, yes).otherwise(no)
+
+
+def year_month(c: str | Column | None = None) -> Column:
+    """DAT-03: the stamp ``yyyyMM`` of a date, of today without one."""
+    return F.date_format(F.current_date() if c is None else c, "yyyyMM")
+
+
+def marker_size(c: str | Column, scale: float = 1.0) -> Column:
+    """NUM-02: a size whose area grows with the value, 0 below zero."""
+    return scale * F.sqrt(F.greatest(F.col(c) if isinstance(c, str) else c, F.lit(0.0)))
+
+
+def damped(c: str | Column) -> Column:
+    """NUM-02: ``log(1 + x)``."""
+    return F.log1p(F.col(c) if isinstance(c, str) else c)
+
+
+def array_pairs(c: str | Column) -> Column:
+    """ARR-08: unordered pairs of a list's distinct elements as structs ``a < b``, inside the row."""
+    items = F.array_sort(F.array_distinct(F.filter(F.col(c) if isinstance(c, str) else c, lambda x: x.isNotNull())))
+    at = lambda i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(F.get(items, i).alias("a"), y.alias("b")))
+    return F.flatten(F.transform(items, lambda _, i: at(i)))
+
+
 #: Twelve named categories of biomedical text.
 CATEGORIES = {
     "explicit UKB": r"\b(uk\s*biobank|u\.?k\.?\s*biobank|united\s+kingdom\s+biobank|ukb|ukbb)\b",

@@ -15,11 +15,12 @@ from scholia.plans.durable import durable
 
 
 def _settled(edges: DataFrame) -> bool:
-    """Whether every node hangs on one root: no node has two, and no root hangs on another node."""
-    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        return False
-    return edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    """Whether every node hangs on one root: no node has two, and no root hangs on another node. One pass."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    loose = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up > 0 and root > 0)")
+    return loose.isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

@@ -16,17 +16,19 @@ from pyspark.sql.window import Window
 from scholia.operators.components import connected_components
 
 #: Record fields from the most to the least telling.
-RANKED_COLUMNS = (
-    "id date_imported_gbq year doi isbn title abstract category_for reference_ids type researcher_ids authors patent_ids "
-    "journal concepts funding_details funder_orgs research_orgs altmetrics citations citations_count volume issue pages "
-    "subtitles date date_online book_title document_type funder_countries concepts_relevant date_print source_id "
-    "date_accepted date_submitted categories book_series_title proceedings_title parent_id conference supporting_grant_ids "
-    "repository_dois arxiv_id open_access_categories open_access_categories_v2 pmid pmcid date_normal date_inserted eisbn "
-    "publisher event editors resulting_publication_doi mesh_headings mesh_terms category_bra category_hra category_hrcs_hc "
-    "category_hrcs_rac category_icrp_cso category_icrp_ct category_rcdc category_sdg category_uoa copyright_statement "
-    "acknowledgements clinical_trial_ids pubmed metrics source journal_lists funding_section research_org_cities "
-    "research_org_city_names research_org_countries research_org_country_names research_org_state_codes research_org_state_names"
-).split()
+RANKED_COLUMNS = [
+    "id", "date_imported_gbq", "year", "doi", "isbn", "title", "abstract", "category_for", "reference_ids", "type", "researcher_ids",
+    "authors", "patent_ids", "journal", "concepts", "funding_details", "funder_orgs", "research_orgs", "altmetrics", "citations",
+    "citations_count", "volume", "issue", "pages", "subtitles", "date", "date_online", "book_title", "document_type",
+    "funder_countries", "concepts_relevant", "date_print", "source_id", "date_accepted", "date_submitted", "categories",
+    "book_series_title", "proceedings_title", "parent_id", "conference", "supporting_grant_ids", "repository_dois", "arxiv_id",
+    "open_access_categories", "open_access_categories_v2", "pmid", "pmcid", "date_normal", "date_inserted", "eisbn", "publisher",
+    "event", "editors", "resulting_publication_doi", "mesh_headings", "mesh_terms", "category_bra", "category_hra", "category_hrcs_hc",
+    "category_hrcs_rac", "category_icrp_cso", "category_icrp_ct", "category_rcdc", "category_sdg", "category_uoa",
+    "copyright_statement", "acknowledgements", "clinical_trial_ids", "pubmed", "metrics", "source", "journal_lists", "funding_section",
+    "research_org_cities", "research_org_city_names", "research_org_countries", "research_org_country_names",
+    "research_org_state_codes", "research_org_state_names",
+]
 NODE = ["id", "file"]
 
 
@@ -63,18 +65,19 @@ def clusters(edges: Sequence[DataFrame]) -> DataFrame:
     return both.join(heads, "head").select("node.id", "node.file", "cluster_id")
 
 
-def dense_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Number rows from 0 in the order of a column, without one task that sorts all of them."""
+def dense_numbers(df: DataFrame, order: str | Sequence[str | Column], name: str) -> DataFrame:
+    """Number rows from 0 in an order, without one task that sorts all of them."""
     from scholia.plans.durable import durable
 
+    order = [order] if isinstance(order, str) else list(order)
     ranged = durable(
-        df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ranged"
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranged"
     ).withColumn("_part", F.shiftright("_id", 33))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + within).alias(name))
+    return ranged.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + within).alias(name))  # a row a range
 
 
 def wanted_by_file(found: DataFrame) -> DataFrame:
@@ -129,30 +132,48 @@ def merge_patches(rows: DataFrame, won: DataFrame, scalars: Sequence[str], lists
     to ``cap``, if that differs from the winner's and there is a loser. Each patched
     field names its sources as ``id:file``.
     """
-    joined = rows.join(won, "cluster_id")
+    keys = ["cluster_id", "canonical_id", "canonical_file"]
+    joined = rows.join(won.select(*keys), "cluster_id")
     own = (F.col("id") == F.col("canonical_id")) & (F.col("file") == F.col("canonical_file"))
-    entry = F.struct(
-        F.when(own, 0).otherwise(1).alias("o"), (-F.col("_score")).alias("s"), "file", "id", *[F.col(c) for c in (*scalars, *lists)]
-    )
-    groups = joined.groupBy("cluster_id", "canonical_id", "canonical_file").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    winner, rest = F.get("m", 0), F.filter("m", lambda e: e.o == 1)
-    out = {}
-    source = lambda e: F.concat(e["id"], F.lit(":"), e["file"])
-    field = lambda c: lambda e: e[c]  # noqa: E731  a lambda's parameters are counted by the functions below
-    filled = lambda c: lambda e: e[c].isNotNull()
-    gives = lambda c: lambda e: F.size(F.array_except(F.coalesce(e[c], F.array()), F.coalesce(winner[c], F.array()))) > 0
+    rank = F.struct(F.when(own, 0).otherwise(1).alias("o"), (-F.col("_score")).alias("s"), "file", "id")
+    joined = joined.withColumn("_own", own).withColumn("_rank", rank).withColumn("_source", F.concat("id", F.lit(":"), "file"))
+    # Scalars and counts combine early; no member is gathered for them.
+    parts = [F.count_if(~F.col("_own")).alias("_others")]
+    for c in scalars:
+        gives = ~F.col("_own") & F.col(c).isNotNull()
+        parts += [
+            F.count_if(F.col("_own") & F.col(c).isNotNull()).alias(f"_has_{c}"),
+            F.min_by(F.when(gives, F.struct(F.col(c).alias("v"), F.col("_source").alias("f"))), F.when(gives, F.col("_rank"))).alias(f"_first_{c}"),
+        ]
+    out = joined.groupBy(*keys).agg(*parts)
     for c in scalars:
-        first = F.get(F.filter(rest, filled(c)), 0)
-        need = winner[c].isNull() & first.isNotNull()
-        out[c] = F.when(need, first[c])
-        out[f"{c}_from"] = F.when(need, F.array(source(first)))
+        need = (F.col(f"_has_{c}") == 0) & F.col(f"_first_{c}").isNotNull()
+        out = out.withColumns({c: F.when(need, F.col(f"_first_{c}.v")), f"{c}_from": F.when(need, F.array(F.col(f"_first_{c}.f")))})
+        out = out.drop(f"_has_{c}", f"_first_{c}")
     for c in lists:
-        merged = F.slice(F.array_distinct(F.flatten(F.filter(F.transform("m", field(c)), lambda a: a.isNotNull()))), 1, cap)
-        need = (F.size(rest) > 0) & ~merged.eqNullSafe(winner[c]) & (F.size(merged) > 0)
-        out[c] = F.when(need, merged)
-        given = F.filter(rest, gives(c))
-        out[f"{c}_from"] = F.when(need, F.transform(given, source))
-    return groups.select("cluster_id", "canonical_id", "canonical_file", *[v.alias(k) for k, v in out.items()])
+        out = _merged_list(out, joined, keys, c, cap)
+    return out.select(*keys, *[x for c in (*scalars, *lists) for x in (c, f"{c}_from")])
+
+
+def _merged_list(out: DataFrame, joined: DataFrame, keys: list[str], c: str, cap: int) -> DataFrame:
+    """Add a list field and its sources: elements are made distinct and ranked before any are gathered."""
+    mine = joined.where("_own").select("cluster_id", F.col(c).alias("_mine"))
+    cells = joined.where(F.col(c).isNotNull()).select("cluster_id", "_own", "_rank", "_source", F.posexplode(c).alias("_i", "_x"))
+    # A null element is an element, so elements are compared as structs.
+    firsts = cells.groupBy("cluster_id", F.struct("_x").alias("_e")).agg(F.min(F.struct("_rank", "_i")).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("_o"))
+    kept = firsts.withColumn("_k", place).where(F.col("_k") <= cap)
+    merged = kept.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_e"))), lambda e: e["_e"]["_x"]).alias("_all"))
+    owned = cells.where("_own").select("cluster_id", F.struct("_x").alias("_e")).distinct().withColumn("_has", F.lit(True))
+    given = cells.where("not _own").select("cluster_id", "_rank", "_source", F.struct("_x").alias("_e")).join(owned, ["cluster_id", "_e"], "left")
+    givers = given.where("_has is null").select("cluster_id", "_rank", "_source").distinct()
+    sources = givers.groupBy("cluster_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_source"))), lambda e: e["_source"]).alias("_from")
+    )
+    both = out.join(mine, "cluster_id", "left").join(merged, "cluster_id", "left").join(sources, "cluster_id", "left")
+    need = (F.col("_others") > 0) & F.col("_all").isNotNull() & ~F.col("_all").eqNullSafe(F.col("_mine"))
+    none = F.array().cast("array<string>")
+    return both.withColumns({c: F.when(need, F.col("_all")), f"{c}_from": F.when(need, F.coalesce("_from", none))}).drop("_mine", "_all", "_from")
 
 
 def patch_json(patches: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -44,7 +44,6 @@ def metric_table(df: DataFrame, key: str, paper: str, cites: str) -> DataFrame:
         F.count_distinct(paper).alias("papers"),
         F.sum(cites).alias("total_cites"),
         F.avg(cites).alias("mean_cites"),
-        F.median(cites).alias("median_cites"),
         F.max(cites).alias("max_cites"),
         F.var_pop(cites).alias("var_cites"),
         fair_skew(cites).alias("skew_cites"),
@@ -53,6 +52,7 @@ def metric_table(df: DataFrame, key: str, paper: str, cites: str) -> DataFrame:
     indices = citation_indices(keyed, key, cites)
     return (
         table.join(indices, key)
+        .join(median_by(keyed, key, cites), key, "left")
         .crossJoin(F.broadcast(total))  # one row
         .withColumn("h_per_paper", F.col("h_index") / F.col("papers"))
         .withColumn("cite_share", F.col("total_cites") / F.col("_all"))
@@ -60,6 +60,21 @@ def metric_table(df: DataFrame, key: str, paper: str, cites: str) -> DataFrame:
     )
 
 
+def median_by(df: DataFrame, key: str, value: str, name: str = "median_cites") -> DataFrame:
+    """Exact median of each key from counts of distinct values, which combine early; nulls do not count."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    upto = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(w)})
+    # The values that hold the two middle ranks, which are one where the count is odd.
+    low = F.floor((F.col("_all") + 1) / 2)
+    high = F.floor(F.col("_all") / 2) + 1
+    holds = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_n") < r)
+    return placed.groupBy(key).agg(
+        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2.0).cast("double").alias(name)
+    )
+
+
 def collaborators(df: DataFrame, paper: str, org: str) -> DataFrame:
     """AGG-19, -20: distinct partners, mean organisations a paper, and papers alone, of each organisation."""
     pairs = df.select(paper, org).distinct()
@@ -84,12 +99,12 @@ def field_summary(df: DataFrame, field: str, cites: str, person: str, org: str)
         F.count("*").alias("papers"),
         F.sum(cites).alias("total_cites"),
         F.avg(cites).alias("mean_cites"),
-        F.mode(person, deterministic=True).alias("modal_person"),
         F.count_distinct(person).alias("people"),
-        F.mode(org, deterministic=True).alias("modal_org"),
         F.count_distinct(org).alias("orgs"),
     )
-    return base.join(citation_indices(df, field, cites).select(field, "h_index"), field)
+    person_mode, org_mode = (mode_by(df, field, c).select(field, F.col("mode").alias(f"modal_{n}")) for c, n in ((person, "person"), (org, "org")))
+    indices = citation_indices(df, field, cites).select(field, "h_index")
+    return base.join(indices, field).join(person_mode, field, "left").join(org_mode, field, "left")
 
 
 def growth(df: DataFrame, group: str, year: str, base: int, last: int, n: int | None = 10) -> DataFrame:
@@ -156,6 +171,42 @@ def top_or_other(df: DataFrame, value: str, k: int, other: str = "Other") -> Dat
     return named.groupBy(F.when(F.col("_top"), F.col(value)).otherwise(other).alias(value)).agg(F.sum("n").alias("n"))
 
 
+def folded_matrix(df: DataFrame, row: str, column: str, value: str, k: int, other: str = "Other") -> DataFrame:
+    """AGG-39: sums by row and column, one column for each of the ``k`` largest and one for all others, 0 where there is nothing."""
+    sums = df.groupBy(row, column).agg(F.sum(value).alias("_w"))
+    largest = sums.groupBy(column).agg(F.sum("_w").alias("_t")).orderBy(F.desc("_t"), column).limit(k)
+    names = [str(r[0]) for r in largest.collect()]  # k names
+    folded = sums.withColumn("_c", F.when(F.col(column).cast("string").isin(names), F.col(column).cast("string")).otherwise(other))
+    return pivoted(folded, row, "_c", [*names, other], F.sum("_w"))
+
+
+def value_shares(df: DataFrame, group: str, member: str, value: str, missing: str, missing_last: bool = False) -> DataFrame:
+    """AGG-47: per group the distinct members of each value, their share of the group's members, and the rank.
+
+    A null value counts as ``missing``. Values rank by members; among equals, or with
+    ``missing_last`` before all else, the missing value comes last, then names decide.
+    """
+    pairs = df.select(group, F.coalesce(F.col(value).cast("string"), F.lit(missing)).alias(value), member).where(F.col(member).isNotNull()).distinct()
+    counted = pairs.groupBy(group, value).agg(F.count("*").alias("n"))
+    totals = df.groupBy(group).agg(F.count_distinct(member).alias("group_n"))
+    unknown = (F.col(value) == missing).cast("int")
+    order = [unknown, F.desc("n"), value] if missing_last else [F.desc("n"), unknown, value]
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.join(totals, group).withColumn("share", F.col("n") / F.col("group_n"))
+
+
+def most_common(df: DataFrame, value: str, order: str, k: int) -> DataFrame:
+    """SRT-06: the ``k`` most frequent values, among equals the one seen first in an order."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_o"))
+    return counted.orderBy(F.desc("n"), "_o", value).limit(k).drop("_o")
+
+
+def head_and_tail(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column], k: int) -> DataFrame:
+    """SRT-07: the first and the last ``k`` rows of a ranking with their ``side``; ``reverse`` is the order turned round."""
+    head = df.orderBy(*order).limit(k).withColumn("side", F.lit("head"))
+    return head.unionByName(df.orderBy(*reverse).limit(k).withColumn("side", F.lit("tail")))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """SRT-04, WIN-04: the first ``k`` rows of each group with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)

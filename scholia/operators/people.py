@@ -38,11 +38,12 @@ def lookup(df: DataFrame, key: str, values: Sequence[str], keep: str = "common",
     """AGG-55: one value per key: the most ``common`` (smallest among equals), or the ``first`` or ``last`` in an order."""
     rows = df.where(F.col(key).isNotNull())
     if keep == "common":
-        picked = [F.mode(v, deterministic=True).alias(v) for v in values]
-    else:
-        pick = F.min_by if keep == "first" else F.max_by
-        picked = [pick(v, order).alias(v) for v in values]
-    return rows.groupBy(key).agg(*picked)
+        found = rows.select(key).distinct()
+        for v in values:
+            found = found.join(metrics.mode_by(rows, key, v).select(key, F.col("mode").alias(v)), key, "left")
+        return found
+    pick = F.min_by if keep == "first" else F.max_by
+    return rows.groupBy(key).agg(*[pick(v, order).alias(v) for v in values])
 
 
 def paper_fields(df: DataFrame, paper: str, code: str, label: Column | str) -> DataFrame:
@@ -61,11 +62,9 @@ def author_summary(ap: DataFrame, author: str, paper: str, cites: str, year: str
     """
     once = ap.groupBy(author, paper).agg(F.max(cites).alias("_c"), F.min(year).alias("_y"))
     base = once.groupBy(author).agg(F.count("*").alias("papers"), F.sum("_c").alias("citations"), F.min("_y").alias("first_year"), F.max("_y").alias("last_year"))
-    modal = ap.groupBy(author).agg(
-        F.mode(field, deterministic=True).alias("modal_field"),
-        F.coalesce(F.mode(current, deterministic=True), F.mode(org, deterministic=True)).alias("home"),
-    )
-    return base.join(modal, author)
+    for column, name in ((field, "modal_field"), (current, "_current"), (org, "_org")):
+        base = base.join(metrics.mode_by(ap, author, column).select(author, F.col("mode").alias(name)), author, "left")
+    return base.withColumn("home", F.coalesce("_current", "_org")).drop("_current", "_org")
 
 
 def country_counts(df: DataFrame, countries: str) -> DataFrame:

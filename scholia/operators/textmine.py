@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words of scholarly prose that topics leave out.
-SCHOLARLY_STOPWORDS = (
-    "uk united kingdom biobank ukb study studies data dataset datasets participants participant cohort cohorts analysis analyses "
-    "using based associated association associations risk results methods background conclusion conclusions objective objectives "
-    "aim aims keywords funding conflict interest"
-).split()
+SCHOLARLY_STOPWORDS = [
+    "uk", "united", "kingdom", "biobank", "ukb", "study", "studies", "data", "dataset", "datasets", "participants", "participant",
+    "cohort", "cohorts", "analysis", "analyses", "using", "based", "associated", "association", "associations", "risk", "results",
+    "methods", "background", "conclusion", "conclusions", "objective", "objectives", "aim", "aims", "keywords", "funding", "conflict",
+    "interest",
+]
 
 
 def stopwords(extra: Sequence[str] = SCHOLARLY_STOPWORDS) -> list[str]:
@@ -131,10 +132,9 @@ def topic_diversity(topics: DataFrame) -> DataFrame:
     return topics.agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
 
 
-def fingerprint(df: DataFrame, *columns: str, cut: int = 1000) -> DataFrame:
-    """TXT-06: order-free digest of a corpus, one row: twelve hex digits."""
-    text = F.concat_ws("\t", *[F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, cut) for c in columns])
-    each = F.sum(F.xxhash64(text).cast("decimal(38,0)")), F.count("*")
-    return df.agg(each[0].alias("a"), each[1].alias("b")).select(
-        F.substring(F.sha1(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 12).alias("fingerprint")
-    )
+def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
+    """TXT-06: order-free digest of a corpus, one row: twelve hex digits over the sum of every row's own digest."""
+    text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    each = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.agg(F.sum(each).cast("string").alias("a"), F.count("*").cast("string").alias("b"))
+    return sums.select(F.substring(F.sha1(F.concat_ws("|", "a", "b").cast("binary")), 1, 12).alias("fingerprint"))

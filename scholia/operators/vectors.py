@@ -67,17 +67,19 @@ def cosine_silhouettes(df: DataFrame, key: str, vector: str, group: str) -> Data
     """ML-03: silhouette of each vector under cosine distance, from group sums alone, no pairs.
 
     The mean distance to a group is one less the product with its mean unit vector.
+    All groups travel as one array in one row, so no vector is copied or shuffled.
     """
     units = df.select(key, group, unit(vector).alias("u"))
     sums = centroids(units, group, "u", normalise=False).join(units.groupBy(group).agg(F.count("*").alias("n")), group)
-    other = sums.select(F.col(group).alias("g"), F.col("centroid"), F.col("n"))
-    pairs = units.join(F.broadcast(other))  # a row a group
-    near = pairs.withColumn("d", 1 - dot("u", "centroid"))
-    inside = F.max(F.when((F.col("g") == F.col(group)) & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1)))
-    return (
-        near.groupBy(key, group)
-        .agg(inside.alias("a"), F.min(F.when(F.col("g") != F.col(group), F.col("d"))).alias("b"))
-        .withColumn("silhouette", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+    groups = sums.agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid", "n")).alias("gs"))
+    near = units.crossJoin(F.broadcast(groups))  # one row
+    distance = lambda s: 1 - dot("u", s["centroid"])
+    inside = F.filter("gs", lambda s: (s["g"] == F.col(group)) & (s["n"] > 1))
+    outside = F.filter("gs", lambda s: s["g"] != F.col(group))
+    a = F.get(F.transform(inside, lambda s: distance(s) * s["n"] / (s["n"] - 1)), F.lit(0))
+    both = near.select(key, group, a.alias("a"), F.array_min(F.transform(outside, distance)).alias("b"))
+    return both.withColumn(
+        "silhouette", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     )
 
 
@@ -90,8 +92,8 @@ def silhouette(df: DataFrame, vector: str, group: str, distance: str = "cosine")
     return ClusteringEvaluator(distanceMeasure=distance).evaluate(ready)
 
 
-def kmeans(df: DataFrame, key: str, vector: str, ks: Sequence[int], seeds: Sequence[int] = (42,)) -> DataFrame:
-    """ML-02: clusters for the ``k`` with the best silhouette, each the lowest cost of several seeds."""
+def kmeans(df: DataFrame, key: str, vector: str, ks: Sequence[int], seeds: Sequence[int] = tuple(range(42, 52))) -> DataFrame:
+    """ML-02: clusters for the ``k`` with the best silhouette, each the lowest cost of ten starts."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
@@ -125,11 +127,21 @@ def truncated_svd(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """ML-05: the first ``k`` left singular directions times their values, from the small Gram matrix."""
     import numpy as np
 
-    size = df.select(F.size(vector)).first()[0]
-    cells = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", F.posexplode("v").alias("j", "y"), "x")
-    gram = np.zeros((size, size))
-    for r in cells.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("s")).collect():  # width squared
-        gram[r["i"], r["j"]] = r["s"]
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One partial Gram matrix a task, added up batch by batch."""
+        total = None
+        for x in batches:
+            if len(x):
+                m = np.stack(x["v"].to_numpy()).astype(np.float64)
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    cells = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInPandas(grams, "i int, row array<double>")
+    total = cells.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("s")).toPandas()  # width squared
+    gram = np.zeros((total["i"].max() + 1,) * 2)
+    gram[total["i"], total["j"]] = total["s"]
     values, axes = np.linalg.eigh(gram)
     axes = axes[:, np.argsort(-values)[:k]]
     axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] >= 0, 1.0, -1.0)

@@ -52,44 +52,74 @@ def running_pct(df: DataFrame, value: str, order: Sequence[Column | str]) -> Dat
 
 
 def smoothed(df: DataFrame, by: Sequence[str], order: str, value: str, sigma: float = 1.0, least: int = 3) -> DataFrame:
-    """WIN-08: Gaussian smoothing with reflected edges, to four deviations; short series stay as they are."""
+    """WIN-08: Gaussian smoothing with reflected edges, to four deviations; short series stay as they are.
+
+    A row sees ``radius`` neighbours to either side by ``lag`` and ``lead``; the edges
+    are reflected from the first and last ``2 * radius + 1`` values, so no row carries its series.
+    """
     radius = int(4 * sigma + 0.5)
     weight = [2.718281828459045 ** (-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     total = sum(weight)
     w = Window.partitionBy(*by)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    series = F.collect_list(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ordered = w.orderBy(order)
+    near = F.array(*[F.lag(value, -k).over(ordered) for k in range(-radius, radius + 1)])
+    place = df.withColumns({"_n": F.count("*").over(w).cast("int"), "_at": F.row_number().over(ordered) - 1, "_near": near})
+    # Values within a radius of an edge, once a series.
+    edge = (F.col("_at") < radius) | (F.col("_at") >= F.col("_n") - radius)
+    ends = place.where(edge).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_at", F.col(value).cast("double")))).alias("_ends"))
+    # A table without groups is one series, whose ends are one row.
+    out = place.join(ends, by, "left") if by else place.crossJoin(F.broadcast(ends))
 
     def reflected(i: Column) -> Column:
         turn = F.pmod(i, 2 * F.col("_n"))
         return F.when(turn < F.col("_n"), turn).otherwise(2 * F.col("_n") - 1 - turn)
 
-    out = df.withColumns({"_n": n.cast("int"), "_at": at, "_s": series})
-    mixed = sum(
-        (F.get("_s", reflected(F.col("_at") + k).cast("int")) * (v / total) for k, v in zip(range(-radius, radius + 1), weight, strict=True)), F.lit(0.0)
-    )
-    return out.withColumn("smooth", F.when(F.col("_n") >= least, mixed).otherwise(F.col(value))).drop("_n", "_at", "_s")
+    def at(k: int) -> Column:
+        i = F.col("_at") + k
+        return F.when((i >= 0) & (i < F.col("_n")), F.get("_near", F.lit(k + radius)).cast("double")).otherwise(
+            F.try_element_at("_ends", reflected(i).cast("int"))
+        )
+
+    mixed = sum((at(k) * (v / total) for k, v in zip(range(-radius, radius + 1), weight, strict=True)), F.lit(0.0))
+    return out.withColumn("smooth", F.when(F.col("_n") >= least, mixed).otherwise(F.col(value))).drop("_n", "_at", "_near", "_ends")
 
 
-def interpolated(events: DataFrame, probes: DataFrame, key: str, ts: str, value: str, at: str) -> DataFrame:
+def interpolated(events: DataFrame, probes: DataFrame, key: str, ts: str, value: str, at: str, bucket_seconds: int = 86_400) -> DataFrame:
     """JN-23, WIN-10: the value of a series at each probe's instant, linear in time between its neighbours.
 
-    Series and probes are merged and swept once: two windows over the union, no range join.
+    Series and probes are merged and cut into buckets of time, so that a hot series
+    splits. Within a bucket two running windows find the neighbours, one in either
+    direction; beyond it they are the last and first points of other buckets, which
+    the same two windows find over one row a bucket.
     """
     e = events.select(key, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_p"))
     p = probes.select(key, F.col(at).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_p"))
-    w = Window.partitionBy(key).orderBy("_t", "_p")
+    both = e.unionByName(p).withColumn("_b", F.floor(_micros("_t") / F.lit(bucket_seconds * 1_000_000)))
     point = F.when(F.col("_p") == 0, F.struct("_t", "_v"))
-    swept = e.unionByName(p).select(
-        key, "_t", "_p",
-        F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
-        F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_b"),
+
+    def swept(by: list[str], up: list, down: list, up_to: int) -> tuple[Window, Window]:
+        rows = (Window.unboundedPreceding, up_to)
+        return Window.partitionBy(*by).orderBy(*up).rowsBetween(*rows), Window.partitionBy(*by).orderBy(*down).rowsBetween(*rows)
+
+    forward, back = swept([key, "_b"], ["_t", "_p"], [F.desc("_t"), F.asc("_p")], 0)
+    near = both.withColumns({"_a": F.last(point, ignorenulls=True).over(forward), "_z": F.last(point, ignorenulls=True).over(back)})
+    ends = both.where("_p = 0").groupBy(key, "_b").agg(
+        F.max(F.struct("_t", "_v")).alias("_last"), F.min(F.struct("_t", "_v")).alias("_first")
+    )
+    known = ends.unionByName(both.where("_p = 1").select(key, "_b").distinct(), allowMissingColumns=True)
+    known = known.groupBy(key, "_b").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    before, after = swept([key], ["_b"], [F.desc("_b")], -1)
+    beyond = known.select(
+        F.col(key).alias("_k"), F.col("_b").alias("_kb"),
+        F.last("_last", ignorenulls=True).over(before).alias("_before"), F.last("_first", ignorenulls=True).over(after).alias("_after"),
     )
-    share = (_micros("_t") - _micros("_a._t")) / (_micros("_b._t") - _micros("_a._t"))
+    found = near.where("_p = 1").join(beyond, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    found = found.select(key, "_t", F.coalesce("_a", "_before").alias("_a"), F.coalesce("_z", "_after").alias("_z"))
+    share = (_micros("_t") - _micros("_a._t")) / (_micros("_z._t") - _micros("_a._t"))
     value_at = F.when(F.col("_a._t") == F.col("_t"), F.col("_a._v")).when(
-        F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("_a._v") + share * (F.col("_b._v") - F.col("_a._v"))
+        F.col("_a").isNotNull() & F.col("_z").isNotNull(), F.col("_a._v") + share * (F.col("_z._v") - F.col("_a._v"))
     )
-    return swept.where("_p = 1").select(key, F.col("_t").alias(at), value_at.alias("interpolated"))
+    return found.select(key, F.col("_t").alias(at), value_at.alias("interpolated"))
 
 
 def seen_before(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
@@ -97,11 +127,12 @@ def seen_before(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataF
     return df.withColumn("seen_before", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
 
 
-def scaled(c: str, low: float, high: float) -> Column:
-    """WIN-14: a column mapped to an output range, the middle if all values are equal."""
-    w = Window.partitionBy()
-    a, b = F.min(c).over(w), F.max(c).over(w)
-    return F.when(b > a, low + (F.col(c) - a) * (high - low) / (b - a)).otherwise((low + high) / 2)
+def scaled(df: DataFrame, c: str, low: float, high: float, name: str = "scaled") -> DataFrame:
+    """WIN-14: a column mapped to an output range, the middle if all values are equal; the bounds are one row."""
+    bounds = df.agg(F.min(c).alias("_a"), F.max(c).alias("_z"))
+    a, z = F.col("_a"), F.col("_z")
+    mapped = F.when(z > a, low + (F.col(c) - a) * (high - low) / (z - a)).otherwise((low + high) / 2)
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, mapped).drop("_a", "_z")
 
 
 def right_closed_bin(c: str, edges: Sequence[float]) -> Column:

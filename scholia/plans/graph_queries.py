@@ -237,6 +237,19 @@ def modularity_parts(t: Tables) -> DataFrame:
     return graph.modularity(part_graph(t)[0], part_sizes(t)).select(F.round("modularity", 8).alias("modularity"))
 
 
+@query(
+    "louvain_quality",
+    """SELECT count(DISTINCT l_partkey) AS nodes, count(DISTINCT l_partkey) AS placed, true AS beats_sizes FROM lineitem""",
+)
+def louvain_quality(t: Tables) -> DataFrame:
+    """What a partition must hold whatever its seeds: every node has one community, and it beats the partition by size."""
+    edges, node = part_graph(t)[0], F.col("node")
+    found = durable(graph.louvain(edges), "louvain")
+    own, by_size = (graph.modularity(edges, p).select(F.col("modularity").alias(n)) for p, n in ((found, "own"), (part_sizes(t), "sizes")))
+    counts = found.agg(F.count_distinct(node).alias("nodes"), F.count("*").alias("placed"))
+    return counts.crossJoin(own).crossJoin(by_size).select("nodes", "placed", (F.col("own") > F.col("sizes")).alias("beats_sizes"))  # one row each
+
+
 @query("louvain_communities")
 def louvain_communities(t: Tables) -> DataFrame:
     return graph.louvain(part_graph(t)[0])
@@ -292,7 +305,11 @@ def frequent_terms(t: Tables) -> DataFrame:
     return textmine.frequent_terms(t.documents, "doc_id", "text", 3, ["the", "and"]).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("corpus_fingerprint")
+@query(
+    "corpus_fingerprint",
+    """WITH d AS (SELECT ('0x' || left(md5(lang || chr(9) || text), 15))::BIGINT::HUGEINT AS x FROM documents)
+    SELECT left(sha1(sum(x) || '|' || count(*)), 12) AS fingerprint FROM d""",
+)
 def corpus_fingerprint(t: Tables) -> DataFrame:
     return textmine.fingerprint(t.documents, "lang", "text")
 

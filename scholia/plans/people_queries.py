@@ -106,13 +106,13 @@ def home_and_others(t: Tables) -> DataFrame:
 @query(
     "mentions_summary",
     """WITH p AS (SELECT lower(trim(o_orderpriority || (o_custkey % 200))) AS doi, o_orderstatus AS grp FROM orders QUALIFY row_number() OVER (PARTITION BY doi ORDER BY o_totalprice DESC) = 1),
-      a AS (SELECT lower(trim(' ' || upper(o_orderpriority) || (o_custkey % 300) || ' ')) AS doi, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 7 END AS news FROM orders WHERE o_orderkey % 3 = 0)
+      a AS (SELECT lower(trim(' ' || upper(o_orderpriority) || (o_custkey % 300) || ' ')) AS doi, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 7 END AS news FROM orders)
     SELECT grp, count(*) AS n, sum(coalesce(news, 0))::BIGINT AS news FROM a LEFT JOIN p ON p.doi = a.doi GROUP BY 1""",
 )
 def mentions_summary(t: Tables) -> DataFrame:
     pubs = t.orders.select(F.concat("o_orderpriority", (F.col("o_custkey") % 200).cast("string")).alias("doi"), F.col("o_orderstatus").alias("grp"), F.col("o_totalprice").alias("times_cited"))
     said = F.concat(F.lit(" "), F.upper("o_orderpriority"), (F.col("o_custkey") % 300).cast("string"), F.lit(" "))
-    alt = t.orders.where("o_orderkey % 3 = 0").select(said.alias("doi"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 7).alias("news"))
+    alt = t.orders.select(said.alias("doi"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 7).alias("news"))
     return people.mentions(alt, pubs, "doi", ["news"], "grp")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import parsing, text
 from scholia.operators import columns, dedup
+from scholia.plans.durable import durable
 from scholia.plans.registry import Registry, Tables
 
 REGISTRY = Registry()
@@ -30,22 +31,20 @@ def records(t: Tables) -> DataFrame:
     )
 
 
-def squeezed_lower(c: str) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-
-
 def members(t: Tables) -> DataFrame:
-    """Clusters of documents with equal beginnings or equal ends, once squeezed and lower-cased."""
-    plain = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), squeezed_lower("text").alias("p"))
-    heads = plain.select("id", "file", F.substring("p", 1, 200).alias("head"))
-    tails = plain.select("id", "file", F.expr("right(p, 120)").alias("tail"))
-    return dedup.clusters([dedup.star_edges(heads, ["head"]), dedup.star_edges(tails, ["tail"])])
+    """Clusters of documents with equal letters, whatever stands between them, or with equal sets of words."""
+    letters = F.md5(F.lower(F.regexp_replace("text", r"[^\p{L}]+", "")))
+    words = F.md5(F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))), " "))
+    keys = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), letters.alias("letters"), words.alias("words"))
+    keys = durable(keys, "keys")  # texts are read once
+    return dedup.clusters([dedup.star_edges(keys.select("id", "file", k), [k], drop_null_keys=True) for k in ("letters", "words")])
 
 
 MEMBERS_SQL = r"""
 WITH RECURSIVE p AS (
-  SELECT doc_id AS id, source AS file, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM documents
-), d AS (SELECT id, file, left(p, 200) AS h, right(p, 120) AS t FROM p
+  SELECT doc_id AS id, source AS file, md5(lower(regexp_replace(text, '[^\p{L}]+', '', 'g'))) AS h,
+    md5(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))), ' ')) AS t FROM documents
+), d AS (SELECT * FROM p
 ), e AS (
   SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.h = b.h AND a.id <> b.id
   UNION SELECT a.id, b.id FROM d a JOIN d b ON a.t = b.t AND a.id <> b.id
@@ -192,13 +191,14 @@ def duplicate_report(t: Tables) -> DataFrame:
 
 @query(
     "coalesce_overlay",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-      CASE WHEN o_orderkey % 10 = 0 AND o_orderkey % 20 <> 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders""",
+    """WITH p AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 'X' END) AS s, max(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS v FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, coalesce(s, o_orderstatus) AS o_orderstatus, coalesce(v, o_totalprice) AS o_totalprice FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""",
 )
 def coalesce_overlay(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
-    patch = t.orders.where("o_orderkey % 10 = 0").select(
-        "o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 20 != 0, F.lit(0.0)).alias("o_totalprice")
+    patch = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max(F.when(F.col("l_returnflag") == "R", "X")).alias("o_orderstatus"),
+        F.max(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice"))).alias("o_totalprice"),
     )
     return columns.patched(rows, patch, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
@@ -230,14 +230,14 @@ def semi_intersect(t: Tables) -> DataFrame:
 
 @query(
     "reconcile_outer",
-    """WITH a AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1),
-      b AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1)
+    """WITH a AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
+      b AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1)
     SELECT coalesce(a.nation, b.nation) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers,
       CASE WHEN coalesce(suppliers, 0) <> 0 THEN round(coalesce(customers, 0)::DOUBLE / suppliers, 6) END AS ratio FROM a FULL JOIN b ON a.nation = b.nation""",
 )
 def reconcile_outer(t: Tables) -> DataFrame:
-    a = t.customer.where("c_nationkey % 5 <> 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
-    b = t.supplier.where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    a = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    b = t.supplier.where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     return columns.reconciled(a, b, "nation", "customers", "suppliers").withColumn("ratio", F.round("ratio", 6))
 
 
@@ -255,7 +255,7 @@ def clean_year(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", columns.valid_year(F.year("o_orderdate"), 1996, 1999).alias("year"))
 
 
-@query("column_inference")
+@query("column_inference", "SELECT o_orderkey AS id, o_orderdate AS date, o_totalprice AS amount FROM orders")
 def column_inference(t: Tables) -> DataFrame:
     df = t.orders
     found = [columns.infer_column(df.columns, c, required=True) for c in (["OrderKey"], ["order_date", "date"], ["total price", "price"])]
@@ -287,7 +287,14 @@ def plain_abstract(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.plain_abstract("text").alias("plain"))
 
 
-@query("patent_text_clean")
+@query(
+    "patent_text_clean",
+    r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS s FROM pages WHERE NOT regexp_matches(html, '(?i)<su[bp]>')),
+      e AS (SELECT page_id, replace(replace(replace(replace(replace(s, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS s FROM t),
+      a AS (SELECT page_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM e), b AS (SELECT page_id, regexp_replace(s, '\s+([,.;:])', '\1', 'g') AS s FROM a),
+      c AS (SELECT page_id, regexp_replace(regexp_replace(s, '\(\s+', '(', 'g'), '\s+\)', ')', 'g') AS s FROM b)
+    SELECT page_id, regexp_replace(s, '\s*-\s*', '-', 'g') AS plain FROM c""",
+)
 def patent_text_clean(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.patent_abstract("html").alias("plain"))
 
@@ -334,11 +341,11 @@ def explicit_mention_rate(t: Tables) -> DataFrame:
 @query(
     "hash_id",
     r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE
-      left(sha1(regexp_replace(trim(regexp_replace(lower(left(text, 80)), '\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g') || '||' || n_chars), 16) END AS id FROM documents""",
+      left(sha1(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g') || '||' || n_chars), 16) END AS id FROM documents""",
 )
 def hash_id(t: Tables) -> DataFrame:
     own = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 0, "NaN")
-    return t.documents.select("doc_id", text.hashed_id(own, F.substring("text", 1, 80), "n_chars").alias("id"))
+    return t.documents.select("doc_id", text.hashed_id(own, "text", "n_chars").alias("id"))
 
 
 _CODED = "lpad((p_size)::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END, '0') || ' ' || p_type"
@@ -386,9 +393,20 @@ def parse_bool(t: Tables) -> DataFrame:
     )
 
 
-@query("parse_json_label")
+@query(
+    "parse_json_label",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN value > 50 WHEN 'click' THEN value > 50 WHEN 'purchase' THEN value <= 50 WHEN 'signup' THEN NULL ELSE value > 50 END AS label FROM events""",
+)
 def parse_json_label(t: Tables) -> DataFrame:
-    answer = F.concat(F.lit("```json\n{'implies_UKB_use': "), F.when(F.col("event_id") % 2 == 0, "True").otherwise("False"), F.lit(",}\n```"))
+    high = F.col("value") > 50
+    yes_no = lambda a, b: F.when(high, a).otherwise(b)
+    answer = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("```json\n{'implies_UKB_use': "), yes_no("True", "False"), F.lit(", 'why': \"it's, {so}\",}\n```")))
+        .when(F.col("event_type") == "click", F.concat(F.lit('It reads {"note": {"x": [1, null]}, "prediction": "'), yes_no("Likely true", "no"), F.lit('"} so')))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("**"), yes_no("No", "Yes"), F.lit("**.")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("{broken: "), F.col("props"), F.lit("} who knows")))
+        .otherwise(F.concat(F.lit("I conclude: Implies UKB use = "), yes_no("YES", "0")))
+    )
     return t.events.select("event_id", parsing.robust_label(answer).alias("label"))
 
 

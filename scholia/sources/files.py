@@ -104,15 +104,26 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
+def monthly_download(spark: SparkSession, fetch: Callable[[], bytes], folder: str, name: str, month: str) -> DataFrame:
+    """SRC-08: a tab-separated download, fetched once a month (``yyyyMM``) into a folder that the cluster shares."""
+    from scholia.sources.sinks import _files
+
+    place, fs = _files(spark, f"{folder}/{name}_{month}.txt")
+    if not fs.exists(place):
+        out = fs.create(place, False)
+        out.write(bytearray(fetch()))
+        out.close()
+    return spark.read.csv(place.toString(), sep="\t", header=True)
+
+
 def country_dimension(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """SRC-13: ``iso2, iso3, admin`` of countries: a CSV, else the few built in; no geometry."""
+    """SRC-13: ``iso2, iso3, admin`` of countries: a CSV, else all that the Java runtime's ISO 3166 table knows; no geometry."""
     if path:
         return spark.read.csv(path, header=True)
-    return spark.sql(
-        "select * from values ('GB','GBR','United Kingdom'),('US','USA','United States of America'),('KR','KOR','South Korea'),"
-        "('JP','JPN','Japan'),('DE','DEU','Germany'),('FR','FRA','France'),('CN','CHN','China'),('AU','AUS','Australia'),"
-        "('CA','CAN','Canada'),('IT','ITA','Italy'),('ES','ESP','Spain') t(iso2, iso3, admin)"
-    )
+    from scholia.functions.entity import iso_countries
+
+    rows = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "\\'") for x in r)) for r in iso_countries(spark))
+    return spark.sql(f"select * from values {rows} t(iso2, iso3, admin)")
 
 
 #: Pages of a search: (term, year, rows to skip, rows to take) -> (rows, total).

@@ -63,14 +63,11 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(_files(spark, old)[0], True)
 
 
-def write_text(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """SNK-06, SNK-10: a small text through Hadoop's file systems."""
     place, fs = _files(spark, path)
-    before = b""
-    if append and fs.exists(place):
-        before = "\n".join(r[0] for r in spark.read.text(path).collect()).encode() + b"\n"
     out = fs.create(place, True)
-    out.write(bytearray(before + text.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
@@ -80,10 +77,29 @@ def write_manifest(spark: SparkSession, path: str, **fields) -> None:
 
 
 def write_progress(spark: SparkSession, folder: str, summary: dict) -> None:
-    """SNK-06: the latest progress as a text and a table, and a line of history."""
+    """SNK-06: the latest progress as a text and a table, and a line of history, which is only ever added to."""
     write_text(spark, f"{folder}/progress.txt", "\n".join(f"{k}: {v}" for k, v in summary.items()) + "\n")
     spark.createDataFrame([summary]).write.mode("overwrite").parquet(f"{folder}/progress.parquet")
-    write_text(spark, f"{folder}/history.tsv", "\t".join(str(v) for v in summary.values()) + "\n", append=True)
+    append_text(spark, f"{folder}/history.tsv", "\t".join(str(v) for v in summary.values()) + "\n")
+
+
+def append_text(spark: SparkSession, path: str, text: str) -> None:
+    """SNK-06: add to the end of a file, whose earlier bytes are not read; the file system must be able to append."""
+    place, fs = _files(spark, path)
+    if hasattr(fs, "getRawFileSystem"):  # a local file's checksums cannot be appended to
+        fs = fs.getRawFileSystem()
+    out = fs.append(place) if fs.exists(place) else fs.create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def back_up(spark: SparkSession, path: str) -> str:
+    """SNK-08: copy a table once before it is repaired; a later repair keeps the first copy. Returns its path."""
+    copy = f"{path}.before_repair"
+    place, fs = _files(spark, f"{copy}/_SUCCESS")
+    if not fs.exists(place):
+        spark.read.parquet(path).write.mode("overwrite").parquet(copy)
+    return copy
 
 
 def apply_by_shard(df: DataFrame, path: str, files: Sequence[str] | None = None) -> None:

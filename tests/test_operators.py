@@ -1,5 +1,6 @@
 """Operators on literal tables: the semantics that are easy to get wrong."""
 
+import datetime
 import random
 
 import pytest
@@ -264,3 +265,50 @@ def test_columns(spark):
     assert columns.sampled(df.withColumn("g", F.lit(1)), "g", "id", 2).count() == 2
     assert columns.same_sets(df, df.union(df))
     assert [r["x"] for r in df.select(columns.recoded("k", {"b": "c"}).alias("x")).collect()] == ["a", None, None]
+
+
+def test_column_choices():
+    assert columns.key_columns(["id", "file", "doi", "columns", "pmid"]) == ["doi", "pmid"]
+    with pytest.raises(ValueError):
+        columns.key_columns(["id", "file"])
+    assert columns.columns_with(["author_org", "org", "title"], ["org"]) == ["author_org"]
+    assert columns.columns_with(["funder", "org"], ["org"]) == ["org"]
+    assert columns.first_existing(["a", "b"], ["c", "b"]) == "b" and columns.first_existing(["a"], ["c"]) is None
+
+
+@pytest.mark.parametrize(
+    ("answer", "label"),
+    [
+        ("{'label': 'it\\'s', 'answer': 'y',}", True), ('{"label": [1, {"label": "no"}]}', False), ("{label: yes}", None), ("{'ukb_use': 2, 'answer': 0}", False),
+        ("{" * 200 + "'label': 1", None), ('{"label": "maybe"} implies-UKB-use = 1', True), ("```\nTRUE\n```", True), ("yes no", None), ("{'a': 'x", None),
+    ],
+)
+def test_parse_answer_literals(answer, label):
+    assert parsing.parse_answer(answer) is label
+
+
+def test_markup_and_references(spark):
+    plain = lambda s: one(spark, text.patent_abstract("v"), s)
+    assert plain("x<SUP> 2 </SUP>y <sub><b>3</b></sub>z") == "x^2y 3 z"
+    assert plain("a&eacute;b &#233; &#xE9; &unknown; &amp;lt; ( c ) d - e") == "aéb é é &unknown; &lt; (c) d-e"
+    assert plain("no markup") == "no markup" and plain("a < b") == "a < b"
+
+
+def test_patches_read_back(spark):
+    read = lambda s: one(spark, parsing.patch_of("v"), s)
+    assert read('{"a": "x", "b": [1, 2]}') == {"a": "x", "b": "[1,2]"}
+    assert read("[1]") == read("{'a") == read("") == read(None) == {}
+
+
+def test_medians_and_series(spark):
+    rows = [("a", 1), ("a", 4), ("a", 2), ("a", None), ("b", 7), ("b", 7), ("b", 1), ("c", None)]
+    found = metrics.median_by(spark.createDataFrame(rows, "k string, v int"), "k", "v").collect()
+    assert {r["k"]: r["median_cites"] for r in found} == {"a": 2.0, "b": 7.0}
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    series = spark.createDataFrame([("a", at(0), 0.0), ("a", at(100), 10.0), ("a", at(500_000), 20.0), (None, at(5), 1.0)], "k string, t timestamp, v double")
+    probes = spark.createDataFrame([("a", at(50)), ("a", at(100)), ("a", at(250_050)), ("a", at(-1)), ("a", at(600_000)), ("b", at(5)), (None, at(5))], "k string, t timestamp")
+    for bucket in (10, 86_400, 10**7):
+        out = windows.interpolated(series, probes, "k", "t", "v", "t", bucket).collect()
+        assert {(r["k"], r["t"]): r["interpolated"] for r in out} == {
+            ("a", at(50)): 5.0, ("a", at(100)): 10.0, ("a", at(250_050)): 15.0, ("a", at(-1)): None, ("a", at(600_000)): None, ("b", at(5)): None, (None, at(5)): 1.0,
+        }

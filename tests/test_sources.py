@@ -102,3 +102,34 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert streams.trailing_counts(streams.file_stream(spark, source, events.schema), "ts").isStreaming
     assert streams.deduplicated(streams.file_stream(spark, source, events.schema), "n", "ts").isStreaming
+
+
+def test_monthly_download_and_back_up(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return b"code\ttitle\n1\tFirst\n"
+
+    for _ in range(2):
+        assert files.monthly_download(spark, fetch, str(tmp_path), "fields", "202411").collect() == [("1", "First")]
+    assert len(calls) == 1
+    path = str(tmp_path / "t")
+    sinks.write_parquet(spark.range(3), path)
+    copy = sinks.back_up(spark, path)
+    sinks.replace_table(spark.range(1), path)
+    assert sinks.back_up(spark, path) == copy and spark.read.parquet(copy).count() == 3
+
+
+def test_logs_models_and_tables(spark, tmp_path):
+    for k in range(2):
+        sinks.append_log(spark.range(k, k + 1), str(tmp_path / "log"))
+    assert sorted(r["id"] for r in files.read_log(spark, str(tmp_path / "log"), "id long").collect()) == [0, 1]
+    sinks.write_csv(spark.createDataFrame([(1, 'a "b"')], "i int, s string"), str(tmp_path / "csv"), single=True)
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()] == [("1", 'a "b"')]
+    from pyspark.ml.feature import Tokenizer
+
+    sinks.save_model(Tokenizer(inputCol="a", outputCol="b"), str(tmp_path / "model"))
+    assert Tokenizer.load(str(tmp_path / "model")).getInputCol() == "a"
+    assert files.country_dimension(spark).where("iso2 = 'KE'").collect() == [("KE", "KEN", "Kenya")]
+    assert files.country_dimension(spark).count() > 200
