@@ -155,8 +155,8 @@ def damped(c: str | Column) -> Column:
 def array_pairs(c: str | Column) -> Column:
     """ARR-08: unordered pairs of a list's distinct elements as structs ``a < b``, inside the row."""
     items = F.array_sort(F.array_distinct(F.filter(F.col(c) if isinstance(c, str) else c, lambda x: x.isNotNull())))
-    at = lambda i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(F.get(items, i).alias("a"), y.alias("b")))
-    return F.flatten(F.transform(items, lambda _, i: at(i)))
+    after = lambda xs, x, i: F.transform(F.slice(xs, i + 2, F.size(xs)), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return F.flatten(F.get(F.transform(F.array(items), lambda xs: F.transform(xs, lambda x, i: after(xs, x, i))), 0))
 
 
 #: Twelve named categories of biomedical text.
