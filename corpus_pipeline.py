@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import decontamination, minhash, packing, pii, quality
+from scholia.llm.catalogue import surrogate_key
 from scholia.plans.durable import durable
 from scholia.sources.tables import table
 
@@ -38,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; their length is counted again."""
-    done = pii.pseudonymised(docs)
+    done = pii.pseudonymised(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.col("pii_count") > 0
