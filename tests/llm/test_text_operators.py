@@ -1,6 +1,8 @@
+import functools
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -25,28 +27,87 @@ def all_splits(word, pieces):
                 yield [word[:k], *rest]
 
 
+def word_chance(v, weights, word):
+    """A word's probability by listing its segmentations; characters without a piece are bytes."""
+    known = {p for p, i in v.ids.items()}
+
+    def ids_of(parts):
+        for k, p in enumerate(parts):
+            if p in known and (k == 0 or not v.begins[v.ids[p]]):
+                yield [v.ids[p]]
+            else:
+                yield v.bytes_of(p)
+
+    usable = lambda k, p: p in known and (k == 0 or not v.begins[v.ids[p]])
+    total = 0.0
+    marked = "▁" + word
+    free = {p for k in range(1, len(marked) + 1) for j in range(k) if usable(j, p := marked[j:k])} | set(marked)
+    for parts in all_splits(marked, free):
+        if any(len(p) > 1 and not usable(len("".join(parts[:k])), p) for k, p in enumerate(parts)):
+            continue
+        ids = [i for group in ids_of(parts) for i in group]
+        total += math.exp(sum(weights[0, i] for i in ids[:-1]) + weights[1, ids[-1]])
+    return total
+
+
 def test_lattice_sums_all_segmentations():
     v = lattice.Vocabulary(PIECES)
-    draw = np.random.default_rng(2)
-    weights = lattice._log_weights(v, draw.random((2, len(v.pieces))) * 10)
-    words = ["the", "thonre", "a", "réouy", "über", "zz\U0001f642q", "x" * 40]
+    weights = lattice.log_weights(v, np.array([[10.0, 65.0], [14.0, 101.0]]))
+    assert np.isclose(np.exp(weights[:, v.begins]).sum(), 1) and np.isclose(np.exp(weights[:, ~v.begins]).sum(), 1)
+    words = ["the", "thonre", "a", "réouy", "über", "zz\U0001f642q", "▁x", "x" * 40]
     found = lattice.Lattice(v, weights).log_words(words)
-    for w, log in zip(words[:5], found, strict=False):
-        chances = []
-        for parts in all_splits("▁" + w, v.ids):
-            ids = [v.ids[p] for p in parts]
-            chances.append(sum(weights[0, i] for i in ids[:-1]) + weights[1, ids[-1]])
-        assert math.isclose(math.log(sum(map(math.exp, chances))), log, rel_tol=1e-9)
+    for w, log in zip(words[:7], found, strict=False):
+        assert math.isclose(math.log(word_chance(v, weights, w)), log, rel_tol=1e-9)
     assert np.isfinite(found).all()
 
 
-def test_expected_uses_cover_the_characters():
+def test_scores_of_the_vocabulary_rank_the_weights():
+    v = lattice.Vocabulary(PIECES)
+    weights = lattice.log_weights(v, np.array([[10.0, 65.0], [14.0, 101.0]]))
+    for group in (v.begins, ~v.begins):
+        own = np.flatnonzero(group & v.usable)
+        scores = np.array([v.model.get_score(int(i)) for i in own])
+        plain = np.array([not v.model.is_byte(int(i)) for i in own])
+        order = np.argsort(-scores[plain], kind="stable")
+        assert (np.diff(weights[0, own[plain]][order]) <= 1e-12).all()
+        w = np.exp(weights[0, own] - weights[0, own].max())
+        assert math.isclose((w * v.depth[own]).sum() / w.sum(), 6.5 if group is v.begins or group[own[0]] and v.begins[own[0]] else 101 / 14, rel_tol=1e-6)
+
+
+def test_long_words_equal_short_ones(monkeypatch):
+    v = lattice.Vocabulary(PIECES)
+    words = ["hello" * 14, "x" * 66, "thereñó\U0001f642" * 10, "a▁▁b" * 20]
+    found = []
+    for long, stretch in ((10**9, 65_536), (1, 65_536), (1, 7)):
+        monkeypatch.setattr(lattice, "LONG", long)
+        monkeypatch.setattr(lattice, "STRETCH", stretch)
+        found.append(lattice.Lattice(v, lattice.log_weights(v, np.array([[10.0, 65.0], [14.0, 101.0]]))).log_words(words))
+    assert np.allclose(found[0], found[1], rtol=1e-10) and np.allclose(found[0], found[2], rtol=1e-10)
+
+
+def test_a_text_without_spaces_is_scored_in_bounded_time(spark):
+    rows = [(1, "Aé9" * 400_000), (2, "a b"), (2**60 + 1, None), (None, "a"), (2**60 + 3, "b")]
+    began = time.time()
+    found = {r["doc_id"]: r for r in lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PIECES).collect()}
+    assert set(found) == {1, 2, 2**60 + 1, None, 2**60 + 3} and time.time() - began < 120
+    assert math.isfinite(found[1]["score"]) and found[1]["score"] < -400_000 and found[1]["n_tokens"] == 2
+
+
+def test_scores_of_documents_equal_a_plain_sum(spark):
+    rows = [(r["doc_id"], r["text"][:300]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()] + EDGES
+    found = lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
     v = lattice.Vocabulary(PIECES)
-    weights = lattice._log_weights(v, np.ones((2, len(v.pieces))))
-    uses = lattice.Lattice(v, weights).expected(["thonre", "the"], np.array([2.0, 3.0]))
-    assert math.isclose(uses[1].sum(), 5.0, rel_tol=1e-9)
-    sizes = np.array([len(p) for p in v.pieces])
-    assert math.isclose((uses.sum(axis=0) * sizes).sum(), 2 * 7 + 3 * 4, rel_tol=1e-9)
+    words = lambda t: [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())]
+    train = [words(t) for d, t in rows if d is None or crc32(str(d).encode()) % 7 != 2]
+    cut = [v.model.encode(w) for ws in train for w in ws]
+    inner = [i for ids in cut for i in ids[1:]]
+    weights = lattice.log_weights(v, np.array([[len(cut), sum(v.depth[ids[0]] for ids in cut)], [len(inner), sum(v.depth[i] for i in inner)]]))
+    end = (len(train) + 1) / (len(cut) + len(train) + 2)
+    chance = functools.cache(lambda w: math.log10(word_chance(v, weights, w) * (1 - end)))
+    short = {w for _, t in rows for w in words(t) if len(w) <= 12}
+    want = Counter((d, round(sum(map(chance, words(t))) + math.log10(end), 5)) for d, t in rows if set(words(t)) <= short)
+    got = Counter((r["doc_id"], round(r["score"], 5)) for r in found)
+    assert sum(want.values()) >= 15 and not want - got
 
 
 @pytest.mark.parametrize("frequent", [10**6, 50, 0])
