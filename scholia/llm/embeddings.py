@@ -1,16 +1,20 @@
 """Near-duplicate vectors within labels.
 
 Method: spherical k-means assigns vectors to cells, blocked cosine products compare
-within cells, and one representative per group is kept. The cells lose no pair: by
-the triangle inequality a vector that lies within the threshold of another cell's
-border visits that cell too, and a pair is counted for each end in that end's own
-cell. Equal vectors are compared once. A cell is compared in blocks, whose tasks
-return counts and a spanning forest, never pairs.
+within cells, and one representative per group is kept. The cells lose no pair. For
+two vectors within the threshold whose home cells differ, the line between the cells
+cuts the stretch between them, which is at most ``reach`` long, so one of the two lies
+within half of ``reach`` of that line: a vector visits every cell whose line is that
+near, and the pair meets in the home of the other. A pair that meets in both homes
+counts in the lower one. Equal vectors are compared once. A cell is compared in blocks,
+whose tasks return counts and a spanning forest, never pairs.
 
 The cells are fitted on a bounded sample (``SAMPLE`` vectors, the smallest by a hash
-of their ids); they decide speed, not results. So does their number, which is the one
-with the least work on the sample: vectors that spread too widely for the threshold
-would visit every cell, and then fewer cells are better.
+of their ids); they decide speed, not results. Their number grows with the square root
+of the vectors of a label, from ``LEAST_CELLS`` to ``MOST_CELLS``. Vectors in clusters
+visit about one cell each; vectors that spread evenly in many dimensions lie near many
+lines, and then the work of a label is a share of all its pairs, as no exact method
+by distances can avoid.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from scholia.operators.components import connected_components
 from scholia.plans.durable import durable
 
 SAMPLE = 20_000
-PER_CELL, MOST_CELLS = 2_000, 4_096
+LEAST_CELLS, MOST_CELLS = 16, 1_024
 BLOCK = 1_024
 
 
@@ -50,33 +54,28 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
     return c
 
 
-def _visits(near: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def visits(near: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Own cell of each vector, and which cells it must be in, from its cosines to the centres."""
     spread = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
     own = near.argmax(axis=1)
     best = near[np.arange(len(near)), own]
-    goes = (best[:, None] - near) <= reach * spread[own] + 1e-9
+    goes = (best[:, None] - near) <= reach / 2 * spread[own] + 1e-9
     goes[np.arange(len(near)), own] = True
     return own, goes
 
 
-def fitted_cells(x: np.ndarray, n: int, labels: int, threshold: float, per_cell: int) -> np.ndarray:
-    """Centroids for ``n`` vectors of ``labels`` labels: of 1, 4, 16, ... cells the number with the least work."""
-    reach, most = float(np.sqrt(max(0.0, 2 - 2 * threshold))), max(1, min(MOST_CELLS, n // per_cell, len(x) // 20))
-    best, least, k = None, np.inf, 1
-    while k <= most:
-        centres = spherical_kmeans(x, k)
-        own, goes = _visits(x @ centres.T, centres, reach)
-        # Comparisons a vector, and what it costs to send it to its cells.
-        work = (np.bincount(own, minlength=k) * goes.sum(axis=0)).sum() / len(x) ** 2 * n / labels + 64 * goes.sum() / len(x)
-        if work < least:
-            best, least = centres, work
-        k *= 4
-    return best
+def reach_of(threshold: float) -> float:
+    """How far unit vectors within the threshold may lie apart."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
+def cells_for(n: int, labels: int) -> int:
+    """Number of cells for ``n`` vectors of ``labels`` labels."""
+    return int(min(MOST_CELLS, max(LEAST_CELLS, np.sqrt(n / max(1, labels)))))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """``vec_id, label, digest, unit`` of the vectors that can be linked."""
+    """``vec_id, label, digest, unit`` of the vectors that can be linked; vectors of another length are another label."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -87,33 +86,36 @@ def _units(vectors: DataFrame) -> DataFrame:
                 if np.isfinite(v).all() and top > 0:
                     v = v / top  # no overflow in the norm
                     v = v / np.sqrt(v @ v)
-                    rows.append((i, str(label), xxhash.xxh3_128_digest(v.tobytes()), v))
+                    rows.append((i, f"{len(v)}:{label}", xxhash.xxh3_128_digest(v.tobytes()), v))
             yield pd.DataFrame(rows, columns=["vec_id", "label", "digest", "unit"])
 
-    usable = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
+    usable = vectors.where("vec_id is not null and label is not null and embedding is not null")
     return usable.mapInPandas(run, "vec_id long, label string, digest binary, unit array<double>")
 
 
-def _dealt(units: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """Each vector once in its own cell and once in each cell that it must visit."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+def _dealt(units: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Each vector once in its own cell and once in each cell that it must visit, with all its cells."""
+    reach = reach_of(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            own, goes = _visits(np.stack(b["unit"].to_numpy()) @ centres.T, centres, reach)
-            row, cell = np.nonzero(goes)
-            out = b.iloc[row].copy()
-            out["cell"], out["home"] = cell.astype(np.int32), cell == own[row]
-            yield out
+            for width, part in b.groupby(b["unit"].map(len)):
+                own, goes = visits(np.stack(part["unit"].to_numpy()) @ centres[width].T, centres[width], reach)
+                row, cell = np.nonzero(goes)
+                out = part.iloc[row].copy()
+                out["cell"], out["home"] = cell.astype(np.int32), own[row].astype(np.int32)
+                lists = [np.flatnonzero(g).astype(np.int32) for g in goes]
+                out["cells"] = [lists[r] for r in row]
+                yield out
 
-    return units.mapInPandas(run, "rep long, label string, m long, unit array<double>, cell int, home boolean")
+    return units.mapInPandas(run, "rep long, label string, m long, unit array<double>, cell int, home int, cells array<int>")
 
 
 def forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each linked vector to the smallest of its component within a block pair."""
     rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    if not len(rows):
+        return []
     part = linked[np.ix_(rows, cols)]
     a, b = left[rows].copy(), right[cols].copy()
     top = np.iinfo(np.int64).max
@@ -127,14 +129,15 @@ def forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tupl
     return [tuple(p) for p in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks_of: int = BLOCK, per_cell: int = PER_CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks_of: int = BLOCK, cells: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector.
 
     Vectors of one label are linked when their cosine in double precision is at least
-    ``threshold``. Vectors that are null, empty, zero or hold null or non-finite
-    components, and vectors without a label, have no links, are their own component
-    and are kept. Vectors of different lengths must not meet in one label. Repeated
-    rows are linked like other equal vectors; an empty table gives none.
+    ``threshold``; vectors of different lengths never are. Vectors that are null,
+    empty, zero or hold null or non-finite components, and vectors without a label,
+    have no links, are their own component and are kept, and so is a row without an id. Rows that repeat an id are one vector if their vectors
+    are equal, and are reported row by row; different vectors under one id are one node
+    with the links of both. An empty table gives none; other columns play no part.
     """
     vectors = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
@@ -142,32 +145,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         F.col(label_col).cast("string").alias("label"),
     )
     units = durable(_units(vectors), "units")
+    distinct = units.groupBy("label", "digest", "vec_id").agg(F.first("unit").alias("unit"))
     reps = durable(
-        units.groupBy("label", "digest").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("unit").alias("unit")
-        ),
-        "distinct",
+        distinct.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("unit").alias("unit")), "distinct"
     )
     sample = reps.select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+    centres = {}
     if len(sample):
-        x = np.stack(sample["unit"].to_numpy())
         n, labels = reps.agg(F.count("*"), F.count_distinct("label")).first()
-        centres = fitted_cells(x, n, labels, threshold, per_cell)
-    else:
-        centres = np.ones((1, 1))
+        wanted = cells or cells_for(n, labels)
+        for width, part in sample.groupby(sample["unit"].map(len)):
+            centres[width] = spherical_kmeans(np.stack(part["unit"].to_numpy()), min(wanted, len(part)))
+        # A length that the sample misses is one cell.
+        for r in reps.select(F.size("unit").alias("w")).distinct().collect():  # a row a length
+            centres.setdefault(r["w"], np.full((1, r["w"]), 1 / np.sqrt(r["w"])))
     dealt = durable(_dealt(reps.select("rep", "label", "m", "unit"), centres, threshold), "dealt")
+    at_home = F.col("cell") == F.col("home")
     sizes = dealt.groupBy("label", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("long")) / F.lit(blocks_of)).cast("int").alias("homes"),
-        F.ceil(F.count("*") / F.lit(blocks_of)).cast("int").alias("alls"),
+        F.ceil(F.count_if(at_home) / F.lit(blocks_of)).cast("int").alias("homes"), F.ceil(F.count("*") / F.lit(blocks_of)).cast("int").alias("alls")
     )
     sized = dealt.join(sizes.where("homes > 0"), ["label", "cell"])
     hashed = F.xxhash64("rep")
-    homes = sized.where("home").select(
-        "label", "cell", "rep", "m", "unit", F.lit(True).alias("left"),
+    columns = ["label", "cell", "rep", "m", "unit", "home", "cells"]
+    left = sized.where(at_home).select(
+        *columns, F.lit(True).alias("left"),
         F.pmod(hashed, "homes").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"),
     )
-    alls = sized.select(
-        "label", "cell", "rep", "m", "unit", F.lit(False).alias("left"),
+    right = sized.select(
+        *columns, F.lit(False).alias("left"),
         F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), F.pmod(F.shiftright(hashed, 7), "alls").cast("int").alias("j"),
     )
 
@@ -176,36 +181,38 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         empty = pd.DataFrame({"rep": [], "other": [], "n": []}, dtype="int64")
         if not len(a) or not len(z):
             return empty
-        left, right, m = a["rep"].to_numpy(), z["rep"].to_numpy(), z["m"].to_numpy()
+        cell = int(b["cell"].iloc[0])
+        one, two = a["rep"].to_numpy(), z["rep"].to_numpy()
         linked = np.stack(a["unit"].to_numpy()) @ np.stack(z["unit"].to_numpy()).T >= threshold
-        linked &= left[:, None] != right[None, :]
-        n = linked @ m
-        if not n.any():
+        linked &= one[:, None] != two[None, :]
+        if not linked.any():
             return empty
-        some = np.flatnonzero(n)
-        rows = [(int(left[k]), int(left[k]), int(n[k])) for k in some]
-        rows += [(u, v, 0) for u, v in forest(left, right, linked)]
-        return pd.DataFrame(rows, columns=["rep", "other", "n"])
+        # A visitor meets a vector here and, where that one visits back, in the visitor's home too: the lower cell counts.
+        homes = z["home"].to_numpy()
+        visitor = homes != cell
+        for h in np.unique(homes[visitor & (homes < cell) & linked.any(axis=0)]):
+            back = np.array([h in c for c in a["cells"]])
+            linked[np.ix_(back, homes == h)] = False
+        n = linked @ z["m"].to_numpy()
+        back_n = a["m"].to_numpy() @ linked[:, visitor]
+        rows = [(int(u), int(u), int(k)) for u, k in zip(one, n, strict=True) if k]
+        rows += [(int(u), int(u), int(k)) for u, k in zip(two[visitor], back_n, strict=True) if k]
+        rows += [(u, v, 0) for u, v in forest(one, two, linked)]
+        return pd.DataFrame(rows, columns=["rep", "other", "n"], dtype="int64")
 
     found = durable(
-        homes.unionByName(alls).groupBy("label", "cell", "i", "j").applyInPandas(compare, "rep long, other long, n long"),
+        left.unionByName(right).groupBy("label", "cell", "i", "j").applyInPandas(compare, "rep long, other long, n long"),
         "found",
     )
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select("rep", "other"), "rep", "other").withColumnRenamed("node", "rep")
     named = durable(
-        reps.select("label", "digest", "rep", "m")
-        .join(counted, "rep", "left")
-        .join(parts, "rep", "left")
-        .select(
-            "label", "digest",
-            (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        ),
+        reps.select("label", "digest", "rep", "m").join(counted, "rep", "left").join(parts, "rep", "left")
+        .select("label", "digest", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
         "named",
     )
     linkable = units.select("vec_id", "label", "digest").join(named, ["label", "digest"])
-    placed = linkable.select("vec_id", "n_links", "component_id").distinct()
+    placed = linkable.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return (
         vectors.select("vec_id")
         .join(placed, "vec_id", "left")

@@ -98,16 +98,56 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize(("block", "per_cell"), [(1024, 2000), (7, 20)])
-def test_near_vectors_equal_brute_force(spark, block, per_cell):
+@pytest.mark.parametrize(("block", "cells"), [(1024, None), (7, 40), (64, 1)])
+def test_near_vectors_equal_brute_force(spark, block, cells):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    found = embeddings.near_vectors(df, 0.93, blocks_of=block, per_cell=per_cell).collect()
+    found = embeddings.near_vectors(df, 0.93, blocks_of=block, cells=cells).collect()
     scaled = [(i, [x / 1e300 for x in v] if i == 2015 else v, label) for i, v, label in rows]
     want = brute_vectors(scaled, 0.93)
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == want
 
 
+@pytest.mark.parametrize("threshold", [0.93, 0.8])
+def test_spread_vectors_with_planted_pairs_equal_brute_force(spark, threshold):
+    """Vectors without clusters, each third with partners just about the threshold in random directions."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(900, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 900, 3):
+        away = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        cosine = threshold + draw.choice([1e-9, 0.001, 0.03, -1e-6])
+        x[k + 1] = cosine * x[k] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+    rows = [(i + 1, [float(c) for c in v], i % 2) for i, v in enumerate(x)]
+    rows = [(i, v, (i - 1) // 3 % 2) for i, v, _ in rows]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold, cells=64).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found}
+    assert got == brute_vectors(rows, threshold) and sum(n for n, _, _ in got.values()) >= 400
+
+
+def test_vectors_visit_a_share_of_many_cells(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = embeddings.cells_for(len(x), 10)
+    centres = embeddings.spherical_kmeans(x, cells)
+    _, goes = embeddings.visits(x @ centres.T, centres, embeddings.reach_of(0.93))
+    assert cells >= 14 and goes.sum(axis=1).mean() < 0.75 * cells  # these vectors have no clusters at all
+    near = x[:200].repeat(10, axis=0) + np.random.default_rng(1).normal(size=(2000, 64)) * 0.02
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    centres = embeddings.spherical_kmeans(near, 200)
+    _, goes = embeddings.visits(near @ centres.T, centres, embeddings.reach_of(0.93))
+    assert goes.sum(axis=1).mean() < 3
+
+
+def test_null_and_repeated_ids_and_vectors_of_two_lengths(spark):
+    rows = [(1, [1.0, 0.0], 1, "a"), (1, [1.0, 0.0], 1, "a"), (2, [1.0, 0.01], 1, None), (None, [1.0, 0.0], 1, "b"), (2**60 + 1, [1.0, 0.0, 0.0], 1, "c"), (2**60 + 3, [2.0, 0.0, 0.0], 1, "c")]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str) == sorted(
+        [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True), (2**60 + 1, 1, 2**60 + 1, True), (2**60 + 3, 1, 2**60 + 1, False)], key=str
+    )
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert minhash.near_duplicates(docs).count() == 0
