@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.frames import id_long, id_text
 from scholia.llm.words import WordHashes, mixed, ngrams, ranges, split
 from scholia.plans.durable import durable
 
@@ -142,7 +143,11 @@ def _extend(batch: pa.RecordBatch, window: int, hashes: WordHashes, powers: _Pow
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """``doc_id, start, n``: ``n`` windows from word ``start`` on that occur earlier in the corpus."""
+    """``doc_id, start, n``: ``n`` windows from word ``start`` on that occur earlier in the corpus.
+
+    Documents without an id have no place in the order and are left out.
+    """
+    docs = docs.where("doc_id is not null")
     anchors = _anchors(docs, window, seed_words)
     twice = durable(anchors.groupBy("anchor").agg(F.sum("w").alias("w")).where("w > 1").select("anchor"), "anchors")
     shared = anchors.join(twice, "anchor", "left_semi").select("doc_id", "anchor", "run")
@@ -180,8 +185,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
 
     Words covered by a window that occurs earlier are removed; windows are judged on
     the input. Null and empty texts have no words. A repeated row is the same
-    document, so it removes nothing from its copy; an empty table gives none; other
-    columns play no part.
+    document, so it removes nothing from its copy; documents without an id neither
+    remove words nor lose any; an empty table gives none; other columns play no part,
+    whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = durable(
@@ -190,7 +196,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
         .agg(F.collect_set(F.struct("start", "n")).alias("marks")),
         "marks",
     )
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    schema = "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,4 +217,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text]
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.join(marks, "doc_id", "left").mapInPandas(run, schema)
+    whole = docs.join(marks, "doc_id", "left").withColumn("doc_id", id_text("doc_id"))
+    return whole.mapInPandas(run, schema).withColumn("doc_id", id_long("doc_id"))
