@@ -8,10 +8,13 @@ estimate of their similarity, and every link is confirmed on the full sets.
 
 Work that a group of copies would square is avoided. Equal sets are one
 representative. Members of a band are first paired with its smallest member alone;
-pairs with a hopeful estimate make families, and a family is compared on full sets
-in blocks, whose tasks return a spanning forest, never pairs. Members of a band in
-different families are estimated too, in blocks where the band is large, and what is
-hopeful is confirmed pair by pair.
+pairs with a hopeful estimate make families. In a family every member is first compared
+with its lead alone, on full sets, in blocks that hold the lead once. Only where that
+leaves a family in parts are the members outside its largest part compared with all
+members, again in blocks, whose tasks return a spanning forest, never pairs. Members of
+a band in different families are estimated too, and what is hopeful is confirmed pair
+by pair; a small band's pairs are joined, a large one's compared in blocks, which is a
+choice of plan that tests hold equal.
 
 The chance to miss a link of similarity s is (1 - s^4)^32: at 0.85 under 1e-10, at
 0.8 under 1e-7.
@@ -24,10 +27,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.embeddings import forest
+from scholia.llm.frames import id_long, id_text
 from scholia.llm.words import WordHashes, lower_split, shingles
 from scholia.operators.components import connected_components
 from scholia.plans.durable import durable
@@ -39,6 +43,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 SLACK = 5.0
 #: Members of a family or band in one block.
 BLOCK = 512
+#: Characters of a family in one block, about.
+BLOCK_CHARS = 32_000_000
+#: Members of a large band in one block.
+BAND_BLOCK = 256
 #: Members of a band up to which its pairs are joined, not compared in blocks.
 JOINED = 24
 _SEED = np.random.default_rng(7)
@@ -103,7 +111,7 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     ``bands`` holds the registers, four to a long. Without words the size is 0 and
     the sketch is null. ``words`` words make a shingle.
     """
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+    schema = "doc_id string, n_shingles long, set_a long, set_b long, bands array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -119,9 +127,8 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                     rows.append((doc, 0, 0, 0, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, schema
-    )
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+    return rows.withColumn("doc_id", id_long("doc_id"))
 
 
 def _unpack(bands: pd.Series) -> np.ndarray:
@@ -168,32 +175,70 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], ratio: Fraction) -
     return ratio.denominator * both >= ratio.numerator * (n[:, None] + m[None, :] - both)
 
 
-def _family_links(families: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
-    """Links ``(x, y)`` that span what is similar enough within families ``(node, component)``."""
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = (
-        families.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.col("component").alias("family"), F.col("node").alias("doc_id"), "own",
-            F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        )
-    )
+def _blocks(rows: Column | None = None) -> Column:
+    """Blocks for the rows of a group, or those of them that a condition names, by number and by characters of ``size``."""
+    counted = F.lit(True) if rows is None else rows
+    by_size = F.sum(F.when(counted, F.col("size")).otherwise(0)) / F.lit(BLOCK_CHARS)
+    return F.ceil(F.greatest(F.count_if(counted) / F.lit(BLOCK), by_size)).cast("int")
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
+    """Of pairs ``(x, y)`` of a lead and a member those that are similar enough; a block holds a lead's text once."""
+    sized = stars.join(texts.select(F.col("doc_id").alias("y"), "size"), "y")
+    sizes = sized.groupBy("x").agg(_blocks().alias("blocks"))
+    dealt = stars.join(sizes, "x").withColumn("block", F.pmod(F.xxhash64("y"), "blocks").cast("int"))
+    leads = sizes.select("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("doc_id"))
+    rows = dealt.select("x", "block", F.col("y").alias("doc_id")).unionByName(leads)
     hashes = WordHashes()
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        i, j = b["i"].iloc[0], b["j"].iloc[0]
         sets = [shingles(hashes.of(lower_split(t)), words) for t in b["text"]]
-        rep, own = b["doc_id"].to_numpy(), b["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        linked = _similar([sets[k] for k in left], [sets[k] for k in right], ratio) if len(left) and len(right) else np.zeros((0, 0), bool)
-        if linked.any():
-            linked &= rep[left][:, None] != rep[right][None, :]
-        found = forest(rep[left], rep[right], linked) if linked.any() else []
-        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+        rep = b["doc_id"].to_numpy()
+        lead = int(np.flatnonzero(rep == b["x"].iloc[0])[0])
+        both = np.array([np.isin(s, sets[lead], assume_unique=True).sum() for s in sets], dtype=np.int64)
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        linked = ratio.denominator * both >= ratio.numerator * (n + n[lead] - both)
+        linked[lead] = False
+        return pd.DataFrame({"x": rep[lead], "y": rep[linked]}, dtype="int64")
+
+    return rows.join(texts.drop("size"), "doc_id").groupBy("x", "block").applyInPandas(compare, "x long, y long")
+
+
+def _open_members(families: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members ``(node, component, outside)`` of families that links to leads leave in parts; ``outside`` of the largest part."""
+    parts = connected_components(stars, "x", "y").select("node", F.col("component").alias("part"))
+    placed = durable(families.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    sizes = placed.groupBy("component", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count("*").alias("parts"))
+    left = placed.join(largest.where("parts > 1"), "component")
+    return durable(left.select("node", "component", (F.col("part") != F.col("main")).alias("outside")), "open")
+
+
+def _family_links(members: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
+    """Links ``(x, y)`` that span what is similar between members ``outside`` and all members of a family."""
+    sized = members.join(texts.select(F.col("doc_id").alias("node"), "size"), "node")
+    sizes = sized.groupBy("component").agg(_blocks(F.col("outside")).alias("outsides"), _blocks().alias("alls"))
+    sized, hashed = members.join(sizes, "component"), F.xxhash64("node")
+    columns = [F.col("component").alias("family"), F.col("node").alias("doc_id")]
+    left = sized.where("outside").select(
+        *columns, F.lit(True).alias("left"),
+        F.pmod(hashed, "outsides").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"),
+    )
+    right = sized.select(
+        *columns, F.lit(False).alias("left"),
+        F.explode(F.sequence(F.lit(0), F.col("outsides") - 1)).alias("i"), F.pmod(F.shiftright(hashed, 7), "alls").cast("int").alias("j"),
+    )
+    hashes = WordHashes()
 
-    return dealt.join(texts, "doc_id").groupBy("family", "i", "j").applyInPandas(compare, "x long, y long")
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        own = {r: shingles(hashes.of(lower_split(t)), words) for r, t in zip(b["doc_id"], b["text"], strict=True)}
+        a, z = (b["doc_id"].to_numpy()[b["left"].to_numpy() == side] for side in (True, False))
+        if not len(a) or not len(z):
+            return pd.DataFrame({"x": [], "y": []}, dtype="int64")
+        linked = _similar([own[r] for r in a], [own[r] for r in z], ratio) & (a[:, None] != z[None, :])
+        return pd.DataFrame(forest(a, z, linked), columns=["x", "y"], dtype="int64")
+
+    return left.unionByName(right).join(texts.drop("size"), "doc_id").groupBy("family", "i", "j").applyInPandas(compare, "x long, y long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, ratio: Fraction) -> DataFrame:
@@ -234,7 +279,7 @@ def _across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     )
     joined = _hopeful_pairs(joined, sketches, threshold)
     many = mixed.where(F.col("m") > JOINED).join(sketches, "rep")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("m") / F.lit(BAND_BLOCK)).cast("int")
     dealt = (
         many.select("key", "rep", "comp", "n", "bands", blocks.alias("blocks"))
         .withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -269,14 +314,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float
 
     Documents are linked when their shingle sets have a Jaccard similarity of at
     least ``threshold``; a component's id is its smallest document, which is kept.
-    Null and empty texts have no shingles, are linked with nothing and are kept.
-    Ties, repeated rows and extra columns do no harm; an empty table gives none.
+    Null and empty texts have no shingles, are linked with nothing and are kept, and so
+    are documents without an id, whose component is null. Rows that repeat an id and a
+    text are one document, reported row by row; other columns play no part, whatever
+    their names; an empty table gives none.
     """
     ratio = Fraction(threshold).limit_denominator(10_000)
     limit = float(ratio)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = durable(sketch(docs, words), "sketches")
-    full = sketched.where("n_shingles > 0")
+    full = sketched.where("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal sketches, so one of them stands for all.
     reps = durable(
         full.groupBy("n_shingles", "set_a", "set_b").agg(
@@ -293,17 +340,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float
     )
     members = durable(keyed.join(shared, "key"), "members")
     tried = members.where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y")).distinct()
-    families = durable(connected_components(_hopeful_pairs(tried, reps, limit), "x", "y"), "families")
+    near = durable(_hopeful_pairs(tried, reps, limit), "near")
+    families = durable(connected_components(near, "x", "y"), "families")
     placed = members.join(families, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
     across = durable(_across(placed, reps.select("rep", "n", "bands"), limit), "across")
     wanted = families.select(F.col("node").alias("doc_id")).union(across.select("x")).union(across.select("y")).distinct()
     # One plan at every size: a merge join, whose sides spill.
-    texts = durable(docs.join(durable(wanted, "wanted").hint("merge"), "doc_id", "left_semi"), "texts")
-    links = durable(
-        _family_links(families, texts, words, ratio).unionByName(_confirmed(across, texts, words, ratio)), "links"
-    )
+    texts = docs.join(durable(wanted, "wanted").hint("merge"), "doc_id", "left_semi")
+    texts = durable(texts.groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("size", F.length("text")), "texts")  # a repeated row is one document
+    stars = durable(_star_links(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), texts, words, ratio), "stars")
+    rest = _family_links(_open_members(families, stars), texts, words, ratio)
+    links = durable(stars.unionByName(rest).unionByName(_confirmed(across, texts, words, ratio)), "links")
     whole = durable(connected_components(links, "x", "y"), "components")
     named = reps.join(whole, F.col("rep") == F.col("node"), "left").select(
         F.col("n").alias("n_shingles"), "set_a", "set_b", F.coalesce("component", "rep").alias("component")
@@ -312,7 +361,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction | float
     return (
         sketched.select("doc_id", "n_shingles", "set_a", "set_b")
         .join(named, ["n_shingles", "set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 

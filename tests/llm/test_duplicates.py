@@ -50,6 +50,32 @@ def test_blocks_find_what_the_first_member_does_not(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == want
 
 
+@pytest.mark.parametrize("joined", [0, 3, 10**6])
+def test_joined_and_blocked_bands_find_the_same(spark, monkeypatch, joined):
+    monkeypatch.setattr(minhash, "JOINED", joined)
+    monkeypatch.setattr(minhash, "BAND_BLOCK", 5)
+    monkeypatch.setattr(minhash, "BLOCK_CHARS", 2000)
+    rows = corpus()
+    found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 0.85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near({d: t for d, t, _ in rows}, 3, 85, 100)
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Recall where it is hardest: three hundred pairs of a similarity of 0.85 to 0.87."""
+    draw = random.Random(9)
+    rows, want = [], 0
+    for k in range(300):
+        words = [f"w{draw.randrange(10**9)}" for _ in range(202)]
+        other = list(words)
+        for at in draw.sample(range(5, 190, 8), 5):  # five words change fifteen shingles of two hundred
+            other[at] = "x" + other[at]
+        rows += [(2 * k + 1, " ".join(words), None), (2 * k + 2, " ".join(other), None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 0.85).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert got == {d: c for d, (_, c, _) in brute_near({d: t for d, t, _ in rows}, 3, 85, 100).items()}
+    assert sum(got[2 * k + 2] == 2 * k + 1 for k in range(300)) == 300
+
+
 def test_registers_merge_and_estimate():
     draw = np.random.default_rng(1)
     a, b, c = (draw.integers(0, 2**63, 1500, dtype=np.uint64) for _ in range(3))
@@ -156,7 +182,14 @@ def test_empty_tables(spark):
 
 
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
-    rows = [(1, "a b c d " * 9, "x", 1), (1, "a b c d " * 9, "x", 1), (None, "a b c d " * 9, None, None), (2, None, None, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n long")
-    assert minhash.near_duplicates(docs).count() == 4
-    assert substring.without_repeats(docs).count() == 4
+    text, big = "a b c d " * 9, 2**60
+    rows = [(1, text, "x", 1), (1, text, "x", 1), (None, text, None, None), (2, None, None, 2), (big + 1, "u v w " * 9, "y", 3), (big + 3, "u v w " * 9 + "u", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n long").coalesce(1)
+    near = minhash.near_duplicates(docs, 3, 0.85).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near), key=str) == sorted(
+        [(1, 1, True), (1, 1, True), (None, None, True), (2, 2, True), (big + 1, big + 1, True), (big + 3, big + 1, False)], key=str
+    )
+    cut = substring.without_repeats(docs).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in cut), key=str) == sorted(
+        [(1, 36, 32), (1, 36, 32), (None, 36, 0), (2, 0, 0), (big + 1, 27, 24), (big + 3, 28, 28)], key=str
+    )
