@@ -12,7 +12,7 @@ from scholia.llm import decontamination, embeddings, lattice, licences, minhash,
 from scholia.sources.tables import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def surrogate_key(spark: SparkSession) -> str:
@@ -29,7 +29,7 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), RANKS)
+    return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER)
 
 
 def op4_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:

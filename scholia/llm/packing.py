@@ -5,7 +5,9 @@ take its smallest piece out again if two unpacked pieces fill the widened gap mo
 tightly. How pieces pack depends on their lengths alone, and there are at most
 ``capacity - 1`` different lengths, so the driver packs the histogram of lengths:
 each step repeats one pattern of lengths as often as the counts allow. Pieces of
-one length are then ranked, without any global sort, and a rank names a bin.
+one length are then ranked, without any global sort, and a rank names a bin: ``n``
+pieces of a length are ranked in about ``sqrt(n)`` buckets, so that no task sees more
+than that, however many documents are as long as one another.
 
 Tokenizing is the only work on text and runs once; its digest is kept in the
 shared folder.
@@ -13,8 +15,8 @@ shared folder.
 
 from __future__ import annotations
 
-import base64
 import json
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,30 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scholia.llm.frames import id_long, id_text, named, positional
+from scholia.llm.words import slices
 from scholia.plans.durable import durable
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one bucket in which pieces of equal length are ranked.
-ROWS_PER_BUCKET = 20_000
 
 
-def tokenizer(path: str):
-    """The byte-level BPE of a rank file; the same ids as its JSON form gives in ``tokenizers``.
+def load(path: str):
+    """The byte-level BPE of a JSON file; a special token's string inside a text is that token."""
+    from tokenizers import Tokenizer
 
-    The end-of-text string inside a text is that token, as it is there.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(
-        "byte-bpe",
-        pat_str=public_tokenizers.PATTERN,
-        mergeable_ranks=ranks,
-        special_tokens={"<|endoftext|>": len(ranks)},
-    )
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+    return Tokenizer.from_file(path)
+
+
+def token_ids(tokenizer, texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of each text and the end id."""
+    found = tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    return [np.array([*f.ids, END_ID], dtype="<u4") for f in found]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -60,21 +58,20 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document (null text: empty)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode
+        tokenizer = load(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
+            for i, j in slices(batch["text"].tolist()):
+                for doc, ids in zip(batch["doc_id"].iloc[i:j], token_ids(tokenizer, batch["text"].iloc[i:j].tolist()), strict=True):
+                    for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                        rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, schema
-    )
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, schema).withColumn("doc_id", id_long("doc_id"))
 
 
 class _Lengths:
@@ -154,47 +151,42 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of ``length`` 1 to ``capacity``.
 
     Sequences are numbered from 0 without gaps and filled from offset 0 without
-    gaps. Repeated rows are packed one by one; an empty input gives an empty result.
+    gaps. Repeated rows are packed one by one; other columns may have any names; an
+    empty input gives an empty result. The pieces are written once.
     """
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots, first, base = [], {}, 0
+    rows, names, (place,) = positional(pieces, "length")
+    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces").withColumnRenamed(place, "_length")
+    counts = {r["_length"]: r["n"] for r in rows.groupBy("_length").agg(F.count("*").alias("n")).collect()}
+    first, base = {}, 0
+    # At most a few slots per pattern and a few patterns per length: bounded by the capacity.
+    by_length: dict[int, list] = {x: [] for x in counts}
     for pattern, times in best_two_fit(counts, capacity):
         offset = 0
         for x in pattern:
             begin = first.get(x, 0)
-            slots.append({"length": x, "lo": begin, "hi": begin + times, "base": base, "offset": offset})
+            by_length[x].append({"lo": begin, "hi": begin + times, "base": base, "offset": offset})
             first[x] = begin + times
             offset += x
         base += times
-    # At most a few slots per pattern and a few patterns per length: bounded by the capacity.
-    by_length: dict[int, list] = {}
-    for s in slots:
-        by_length.setdefault(s["length"], []).append({k: s[k] for k in ("lo", "hi", "base", "offset")})
     table = spark.range(1).select(
         F.inline(
             F.from_json(
-                F.lit(json.dumps([{"length": k, "slots": v} for k, v in by_length.items()])),
-                "array<struct<length:bigint,slots:array<struct<lo:bigint,hi:bigint,base:bigint,offset:bigint>>>>",
+                F.lit(json.dumps([{"_length": k, "buckets": int(np.ceil(np.sqrt(counts[k]))), "slots": v} for k, v in by_length.items()])),
+                "array<struct<_length:bigint,buckets:bigint,slots:array<struct<lo:bigint,hi:bigint,base:bigint,offset:bigint>>>>",
             )
         )
     )
-    buckets = max(1, -(-sum(counts.values()) // ROWS_PER_BUCKET))
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    held = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = held.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
+    dealt = rows.join(F.broadcast(table.drop("slots")), "_length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), "buckets"))
+    held = dealt.groupBy("_length", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_length", "_bucket").orderBy("_row")
+    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1)
+    ranked = ranked.join(starts, ["_length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
     slot = F.element_at(F.filter("slots", lambda s: (s.lo <= F.col("_rank")) & (F.col("_rank") < s.hi)), 1)
-    return (
-        ranked.join(F.broadcast(table), "length")
-        .withColumn("_slot", slot)
-        .withColumn("sequence_id", F.col("_slot.base") + F.col("_rank") - F.col("_slot.lo"))
-        .withColumn("offset", F.col("_slot.offset"))
-        .drop("_bucket", "_rank", "_start", "_slot", "slots")
-    )
+    placed = ranked.join(F.broadcast(table.select("_length", "slots")), "_length").withColumn("_slot", slot).withColumnRenamed("_length", place)
+    return named(placed, names, sequence_id=F.col("_slot.base") + F.col("_rank") - F.col("_slot.lo"), offset=F.col("_slot.offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -202,9 +194,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
 
     A null or empty text is the end id alone; nulls in other columns, extra columns
     and repeated documents do no harm (each row is packed). Documents with a null
-    id are packed too.
+    id are packed too; an empty table gives none. ``path`` names a tokenizer's JSON file.
     """
-    pieces = durable(tokenized_pieces(docs, path, capacity), "pieces")
-    return packed(pieces, capacity).select(
+    return packed(tokenized_pieces(docs, path, capacity), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

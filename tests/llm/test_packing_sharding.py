@@ -7,26 +7,31 @@ import pytest
 
 from scholia.llm import packing, sharding
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, "a", "Häuser, \n\n  tabs\t and  spaces  ", "<|endoftext|> in text", "word " * 3000, "naïve 你好 🙂" * 400, "x" * 5000]
 
 
-def test_ids_equal_the_json_tokenizer():
-    from tokenizers import Tokenizer
+def test_ids_equal_the_rank_file_on_a_whole_table(spark):
+    import base64
 
-    other, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokenizer(RANKS)
-    for t in TEXTS:
-        assert own.encode(t or "", allowed_special="all") == other.encode(t or "", add_special_tokens=False).ids
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    texts = TEXTS + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, ids in zip(texts, packing.token_ids(packing.load(PATH), texts), strict=True):
+        assert ids.tolist() == [*other.encode(t or "", allowed_special="all"), 2]
 
 
 def test_pack_documents_round_trip(spark):
     rows = [(i, t, "x", i) for i, t in enumerate(TEXTS * 5)] + [(3, "a", None, None), (None, "a", None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, length int")
-    found = packing.pack_documents(docs, RANKS).collect()
-    encode = packing.tokenizer(RANKS).encode
+    rows += [(2**60 + 1, "b" * 3_000_000, None, 1), (2**60 + 3, "b", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, length int").coalesce(2)
+    found = packing.pack_documents(docs, PATH).collect()
+    encode = packing.load(PATH).encode
     want = Counter()
     for i, t, *_ in rows:
-        ids = [*encode(t or "", allowed_special="all"), 2]
+        ids = [*encode(t or "", add_special_tokens=False).ids, 2]
         for k, (s, n) in enumerate(packing.cut(len(ids))):
             assert n <= 1024 and (k == 0 or n == 1024)
             want[i, k, s, n, zlib.crc32(np.array(ids[s : s + n], dtype="<u4").tobytes())] += 1
@@ -82,6 +87,53 @@ def test_communication_matrix_has_its_margins_and_law():
     assert abs(first.var() / (k * big_k / n * (1 - big_k / n) * (n - k) / (n - 1)) - 1) < 0.3
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(40, 60, 30), (5, 500, 100), (3000, 4000, 2500)])
+def test_draws_by_rejection_follow_the_law(good, bad, n):
+    from math import comb, exp, log
+
+    low, high = max(0, n - bad), min(n, good)
+    for k in range(low, high + 1, max(1, (high - low) // 40)):
+        exact = log(comb(good, k)) + log(comb(bad, n - k)) - log(comb(good + bad, n))
+        assert abs(sharding.log_chance(k, good, bad, n) - exact) < 1e-9 * max(1, abs(exact))
+    draw = np.random.default_rng(6)
+    found = Counter(sharding.ratio_of_uniforms(draw, good, bad, n) for _ in range(20_000))
+    chance = {k: exp(sharding.log_chance(k, good, bad, n)) for k in range(low, high + 1)}
+    often = [k for k, p in chance.items() if p * 20_000 >= 10]
+    chi = sum((found[k] - 20_000 * chance[k]) ** 2 / (20_000 * chance[k]) for k in often)
+    assert chi < len(often) + 5 * (2 * len(often)) ** 0.5
+
+
+def test_large_populations_are_drawn_exactly():
+    rows = [3 * 10**9, 10**10, 7, 0, 5 * 10**8]
+    sizes = sharding.shard_sizes(sum(rows), 40)
+    m = sharding.communication_matrix(rows, sizes, 2)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == sizes and (m >= 0).all()
+    good, bad, n = sizes[0], sum(rows) - sizes[0], rows[0]
+    sd = (n * good / (good + bad) * (bad / (good + bad)) * ((good + bad - n) / (good + bad - 1))) ** 0.5
+    draw = np.random.default_rng(3)
+    z = np.array([(sharding.hypergeometric(draw, good, bad, n) - n * good / (good + bad)) / sd for _ in range(3000)])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and abs((np.abs(z) < 0.5).mean() - 0.383) < 0.04
+    around = [sharding.log_chance(int(n * good / (good + bad) + k), good, bad, n) for k in range(-2, 3)]
+    assert max(around) - min(around) < 1e-6  # neighbours near the mode are alike, to the digit
+
+
+def test_blocks_of_the_matrix_are_the_matrix():
+    rows, sizes = [30, 5, 0, 65, 17], sharding.shard_sizes(117, 4)
+    whole = sharding.communication_matrix(rows, sizes, 8)
+    assert (np.concatenate(list(sharding.matrix_blocks(rows, sizes, 8, 2))) == whole).all()
+
+
+@pytest.mark.parametrize("name", ["_row", "_part", "_order", "_slice", "_rank", "c0", "shard"])
+def test_shards_of_columns_of_any_name(spark, name, tmp_path):
+    docs = spark.createDataFrame([(i, 2**60 + i, str(i)) for i in range(50)], f"doc_id long, big long, `{name}` string")
+    found = sharding.assign_shards(docs, 4).collect()
+    assert {(r["doc_id"], r["big"]) for r in found} == {(i, 2**60 + i) for i in range(50)}
+    assert sorted(Counter(r["shard"] for r in found).values()) == [12, 12, 13, 13]
+    sharding.write_shards(docs, str(tmp_path / "out"), 4, rows_per_file=5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 50 and back.select("shard", "slots").distinct().count() >= 12
+
+
 def test_shards_are_whole_even_and_gapless(spark, monkeypatch):
     rows = [(i % 700, "é" * (i % 50) if i % 9 else None, "s") for i in range(1003)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(5)
@@ -106,5 +158,5 @@ def test_shuffle_is_uniform(spark):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert packing.pack_documents(docs, RANKS).count() == 0
+    assert packing.pack_documents(docs, PATH).count() == 0
     assert sharding.shard_report(docs).count() == 0
