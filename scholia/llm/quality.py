@@ -3,13 +3,15 @@
 Method: a document is a bag of passages of ``PASSAGE`` bytes. Every passage of the
 whole text is encoded from the shapes of its characters: how often each of twelve
 character classes follows each other one, how evenly the passage is filled, and how
-much of it repeats itself or earlier passages. A learned layer turns that into a
-hidden vector, gated attention weighs the passages, and a logistic unit scores the
-weighted sum. All weights are learned together from document labels by Adam.
-
-The fit uses a bounded sample of labelled documents, ``FIT_DOCUMENTS`` with the
-smallest hashes of their ids, and every passage of each; scoring reads every passage
-of every document. Label, language, source and id are never inputs.
+much of it repeats itself or earlier passages. A learned layer turns that into a hidden
+vector, gated attention weighs the passages, and a logistic unit scores the weighted
+sum. All weights are learned together from document labels by Adam. What is written,
+as counts of hashed four-byte runs, was tried too and left out (see the README).
+
+The fit uses a bounded sample of labelled documents, in the order of hashes of their
+ids at most ``FIT_DOCUMENTS`` that have at most ``FIT_PASSAGES`` passages together, and
+every passage of each; scoring reads every passage of every document. Label, language,
+source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from scholia.llm.frames import positional
 from scholia.llm.words import ranges, slices
 
 PASSAGE = 384
-FIT_DOCUMENTS = 6_000
+#: Bounds of the sample of labelled documents, which are taken whole.
+FIT_DOCUMENTS, FIT_PASSAGES = 6_000, 80_000
+#: Bytes of a long text that are encoded at a time (whole passages).
+STRETCH = 4_096 * PASSAGE
 HIDDEN, GATE = 24, 12
 THRESHOLD = 0.3
 _CLASSES = 12
@@ -42,41 +50,71 @@ def _class_of_bytes() -> np.ndarray:
 
 _CLASS = _class_of_bytes()
 WIDTH = _CLASSES * _CLASSES + 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Passage features of a batch of texts, and the number of passages of each (at least one)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if any(len(r) > STRETCH for r in raw):
+        parts = [_encode_long(r) if len(r) > STRETCH else _encode([r])[0] for r in raw]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+    x, bags, _ = _encode(raw)
+    return x, bags
+
+
+def _encode_long(raw: bytes) -> np.ndarray:
+    """Features of one long text, stretch by stretch; the runs seen so far are carried on."""
+    seen, parts = np.empty(0, dtype=np.int64), []
+    for i in range(0, len(raw), STRETCH):
+        x, _, (codes, at, again) = _encode([raw[i : i + STRETCH]])
+        again |= np.isin(codes, seen)
+        x[:, -2] = np.bincount(at, weights=again, minlength=len(x)) / np.maximum(1, np.bincount(at, minlength=len(x)))
+        x[:, -1] = np.log1p(len(raw)) / 12
+        parts.append(x)
+        seen = np.union1d(seen, codes)
+    return np.concatenate(parts)
+
+
+def _again(key: np.ndarray) -> np.ndarray:
+    """Whether a key stood before."""
+    order = np.argsort(key, kind="stable")
+    out = np.zeros(len(key), dtype=bool)
+    out[order[1:]] = key[order[1:]] == key[order[:-1]]
+    return out
+
+
+def _encode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, passages of each text, and of each eight-byte run its code, passage and whether its text had it before."""
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     bags = np.maximum(1, -(-sizes // PASSAGE))
     first = np.cumsum(bags) - bags
     x = np.zeros((int(bags.sum()), WIDTH), dtype=np.float32)
+    none = np.empty(0, dtype=np.int64)
+    runs = (none, none, none.astype(bool))
     if sizes.sum():
         whole = np.frombuffer(b"".join(raw), dtype=np.uint8)
         kind = _CLASS[whole]
         passage = np.repeat(first.astype(np.int32), sizes) + (ranges(sizes) // PASSAGE).astype(np.int32)
+        filled = np.bincount(passage, minlength=len(x)).astype(np.float32)
         cell = passage[:-1] * np.int64(_CLASSES**2) + (kind[:-1] * np.uint8(_CLASSES) + kind[1:])
         counts = np.bincount(cell[passage[:-1] == passage[1:]], minlength=len(x) * _CLASSES**2)
-        del cell
         x[:, : _CLASSES**2] = counts.reshape(len(x), -1)
-        filled = np.bincount(passage, minlength=len(x)).astype(np.float32)
         x[:, : _CLASSES**2] /= np.maximum(filled, 1)[:, None]
         x[:, -4] = filled / PASSAGE
         # Eight-byte runs that stand before in the passage, or in the document.
-        if len(whole) > 8:
-            run = np.lib.stride_tricks.sliding_window_view(whole, 8).copy().view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
+        if len(whole) >= 8:
+            run = np.lib.stride_tricks.sliding_window_view(whole, 8).copy().view("<u8").ravel() * _ODD
             inside = passage[: len(run)] == passage[7:]
             at = passage[: len(run)][inside]
             code = (run[inside] >> np.uint64(24)).astype(np.int64)
             document = np.repeat(np.arange(len(raw)), sizes)[: len(run)][inside]
             for column, group in ((-3, at.astype(np.int64)), (-2, document)):
-                key = (group << 40) ^ code
-                order = np.argsort(key, kind="stable")
-                again = np.zeros(len(key), dtype=bool)
-                again[order[1:]] = key[order[1:]] == key[order[:-1]]
+                again = _again((group << 40) ^ code)
                 x[:, column] = np.bincount(at, weights=again, minlength=len(x)) / np.maximum(1, np.bincount(at, minlength=len(x)))
+            runs = (code, at, again)
     x[:, -1] = np.repeat(np.log1p(sizes) / 12, bags)
-    return x, bags
+    return x, bags, runs
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,15 +189,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", documents: int = FIT_DOCUMENTS) -> AttentionScorer | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", documents: int = FIT_DOCUMENTS, passages: int = FIT_PASSAGES) -> AttentionScorer | None:
     """Learn from labelled documents that are not held out; None if there are none.
 
-    A document with several labels counts with the largest; null labels do not count.
+    A document with several labels counts with the largest; null labels and null ids do
+    not count; a repeated document is learned from once.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), label_col)
+    known = known.where(~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    sizes = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    chosen, held = [], 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most ``documents`` rows
+        bags = max(1, -(-r["size"] // PASSAGE))
+        if held + bags <= passages:
+            held += bags
+            chosen.append((r["doc_id"], r["label"]))
+    if not chosen:
+        return None
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,46 +220,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
                 parts = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, bags, strict=True)]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": parts})
 
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(some), "doc_id")
-        .mapInPandas(run, "doc_id long, label int, x binary")
-        .toPandas()
-        .drop_duplicates("doc_id")
-        .sort_values("doc_id")
-    )
-    if not len(rows):
-        return None
+    rows = texts.join(F.broadcast(wanted), "doc_id").mapInPandas(run, "doc_id long, label int, x binary").toPandas()
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     parts = [np.frombuffer(r, dtype="<f4").reshape(-1, WIDTH) for r in rows["x"]]
     return AttentionScorer().fit(
         np.concatenate(parts), np.array([len(p) for p in parts]), (rows["label"].to_numpy() > 0).astype(float)
     )
 
 
-def score_quality(docs: DataFrame, model: AttentionScorer | None, keep: bool = False) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document, or with ``keep`` the columns of ``docs`` and ``score``.
+def scored(docs: DataFrame, model: AttentionScorer | None, text_col: str = "text") -> DataFrame:
+    """``row``, a struct of all columns by place, and ``score``, its text's; rows pass by Arrow and stay as they are.
 
     Without a model, as without labels, every score is 0.5. Null and empty texts are
-    one empty passage. Repeated rows are scored alike; an empty table gives none.
+    one empty passage.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    rows, _, (place,) = positional(docs, text_col)
+    packed = rows.select(F.struct("*").alias("row"), F.col(place).cast("string").alias("text"))
 
-    source = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fields = [f for f in source.schema.fields if keep or f.name != "text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b["text"].tolist()):
-                part = b.iloc[i:j]
-                score = model.score(*encode(part["text"].tolist())) if model is not None else 0.5
-                yield part[[f.name for f in fields]].assign(_score=score)
-
-    scored = source.mapInPandas(run, StructType([*fields, StructField("_score", DoubleType())]))
-    if keep:
-        return scored.withColumnRenamed("_score", "score")
-    return scored.select(
-        "doc_id",
-        held_out().alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
-    )
+            texts = b.column("text").to_pylist()
+            found = [
+                model.score(*encode(texts[i:j])) if model is not None else np.full(j - i, 0.5) for i, j in slices(texts)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(found) if found else [], pa.float64())], ["row", "score"])
+
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
+
+
+def score_quality(docs: DataFrame, model: AttentionScorer | None) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document.
+
+    Repeated rows are scored alike, documents without an id too; other columns play no
+    part; an empty table gives none.
+    """
+    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    found = found.select(F.col("row.c0").alias("doc_id"), "score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: AttentionScorer | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns as they are, whose score reaches the threshold."""
+    kept = scored(docs, model).where(F.col("score") >= threshold)
+    return kept.select(*[F.col(f"row.c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -226,6 +226,71 @@ def test_quality_learns_from_every_passage(spark, monkeypatch):
     assert list(got_bags) == list(bags) and np.allclose(got, x) and list(labels) == [1.0 - i % 2 for i in known]
 
 
+def plain_features(text):
+    """Features of a text's passages, one byte at a time."""
+    raw, size = (text or "").encode(), quality.PASSAGE
+    classes = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", b".", b",;:", b"!?", b"'\"()-"]
+
+    def kind(c):
+        if c >= 128:
+            return 9
+        return next((k for k, members in enumerate(classes) if c in members), 10 if c < 9 or 14 <= c < 32 else 11)
+
+    rows, seen = [], set()
+    for at in range(0, max(1, len(raw)), size):
+        part = raw[at : at + size]
+        row = [0.0] * quality.WIDTH
+        for a, b in zip(part, part[1:]):
+            row[12 * kind(a) + kind(b)] += 1 / len(part)
+        own = [part[k : k + 8] for k in range(len(part) - 7)]
+        row[-4], row[-1] = len(part) / size, math.log1p(len(raw)) / 12
+        if own:
+            row[-3] = sum(r in own[:k] for k, r in enumerate(own)) / len(own)
+            row[-2] = sum(r in own[:k] or r in seen for k, r in enumerate(own)) / len(own)
+        seen |= set(own)
+        rows.append(row)
+    return rows
+
+
+def plain_score(model, rows):
+    """The forward pass of one bag in scalars."""
+    p, dot = model.p, lambda x, w: [sum(a * b for a, b in zip(x, col)) for col in zip(*w)]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    hidden, weights = [], []
+    for r in rows:
+        s = [min(8.0, max(-8.0, (a - m) / sd)) for a, m, sd in zip(r, model.mean, model.spread)]
+        h = [math.tanh(v + b) for v, b in zip(dot(s, p["W"]), p["b"])]
+        gate = [math.tanh(t) * sig(g) for t, g in zip(dot(h, p["V"]), dot(h, p["U"]))]
+        weights.append(math.exp(dot(gate, p["w"])[0]))
+        hidden.append(h)
+    z = [sum(w * h[k] for w, h in zip(weights, hidden)) / sum(weights) for k in range(len(hidden[0]))]
+    return sig(dot(z, p["c"])[0] + p["d"][0])
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(25).collect()] + EDGES + [(2**60 + 1, "A. " * 400), (2**60 + 3, "é" * 1000)]
+    want = Counter((d, round(plain_score(model, plain_features(t)), 6)) for d, t in rows)
+    for stretch in (quality.STRETCH, 2 * quality.PASSAGE):  # long texts are encoded in stretches with one result
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        found = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()
+        assert Counter((r["doc_id"], round(r["score"], 6)) for r in found) == want
+        if stretch < 1000:
+            x, bags = quality.encode([t for _, t in rows])
+            assert np.allclose(x, np.concatenate([plain_features(t) for _, t in rows]), atol=1e-5)
+
+
+def test_quality_sample_is_bounded_and_of_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionScorer, "fit", lambda self, x, bags, labels: seen.append(list(bags)) or self)
+    docs = spark.createDataFrame([(i, "word " * (77 * (1 + i % 3))) for i in range(40)], "doc_id long, text string")
+    for documents, passages in ((1000, 1000), (10, 1000), (1000, 12)):
+        quality.fit_quality(docs, docs.selectExpr("doc_id", "1 as quality"), documents=documents, passages=passages)
+        assert len(seen[-1]) <= documents and sum(seen[-1]) <= passages and set(seen[-1]) <= {2, 3, 4}
+    assert sum(seen[2]) > 8 and len(seen[0]) > 25
+
+
 def test_attention_gradient():
     draw = np.random.default_rng(0)
     bags, labels = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0])
