@@ -1,38 +1,50 @@
 """Benchmark decontamination by rare seeds and local alignment.
 
-Method: test items are cut into word trigrams; the rare ones, by the surprisal of
-their words in the whole corpus, are seeds. Training passages that share at least
-two seeds of an item about one diagonal are aligned with the item by Smith-Waterman
-over words, each word weighing its surprisal, so that edited and paraphrased copies
-score by what they keep and chance runs of common words score little.
-
-Items travel to the documents in blocks of a bounded number of words; a larger
-benchmark takes more passes, not more memory. Documents are never shuffled.
+Method: test items are cut into word trigrams, which are counted in the whole corpus;
+the rare ones are seeds, and so are an item's rarest. Training passages are joined to
+items on seeds: a passage that shares at least two seeds of an item about one diagonal
+is aligned with the item by Smith-Waterman over words, each word weighing its surprisal
+in the corpus, so that edited and paraphrased copies score by what they keep and chance
+runs of common words score little.
+
+A passage is a copy if it keeps half of the item's weight, or, of a long item, as much
+as ``EXCERPT_WORDS`` words of mean weight. Either way it must hold ``LEAST_BITS`` bits:
+an item of a word or two, which any text may hold by chance, is never reported.
+
+The benchmark is a table and may be large. Documents see it only through bitmaps of a
+bounded size, which tell most words and trigrams that do not matter; the joins that
+follow are exact. Texts are told by a digest, so that copies are aligned once, and only
+texts with candidates are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scholia.llm.words import WordHashes, alphanumeric_words, ngrams
+from scholia.llm.frames import positional
+from scholia.llm.words import WordHashes, alphanumeric_words, ngrams, slices
 from scholia.plans.durable import durable
 
 SEED_WORDS = 3
-#: Surprisal in bits from which a trigram is rare, whatever the size of the corpus.
-RARE_BITS = 18.0
-#: Rarest trigrams that stay seeds in an item of common words.
-LEAST_SEEDS = 6
-#: Share of an item's own score from which a passage is a copy.
+#: A trigram is rare from this surprisal in bits on, or if it occurs this often at most.
+RARE_BITS, RARE_COUNT = 18.0, 32
+#: Rarest trigrams that are seeds in every item, however common; among equals a hash decides, so that they spread.
+LEAST_SEEDS = 16
+#: Share of an item's own weight from which a passage is a copy.
 THRESHOLD = 0.5
+#: Words of mean weight that an excerpt must keep to be a copy, and bits that any copy must hold.
+EXCERPT_WORDS, LEAST_BITS = 50, 40.0
 MISMATCH, GAP = -0.5, 0.5
-#: Words of benchmark items held by a worker at a time.
-BLOCK_WORDS = 1_000_000
+#: Least and most bits of a bitmap, as powers of two: at most 16 MB.
+BITMAP = (16, 27)
+#: Words and trigrams that a task counts before it passes them on.
+COUNTED = 250_000
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -73,162 +85,222 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray, weight: np.ndarray) ->
     return best, *found
 
 
-@dataclass
-class Items:
-    """A block of test items: word hashes, weights, and sorted seeds with item and position."""
+class Bitmap:
+    """Which 64-bit hashes may be in a set: a bit of their lowest bits each."""
 
-    ids: list[int]
-    words: list[np.ndarray]
-    weights: list[np.ndarray]
-    seeds: np.ndarray
-    of: np.ndarray
-    at: np.ndarray
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
-    def __post_init__(self):
-        self.sizes = np.array([len(w) for w in self.words])
-        self.gram_sizes = sorted({min(SEED_WORDS, n) for n in self.sizes.tolist()})
-        self.filter = np.zeros(2**20, dtype=bool)
-        self.filter[(self.seeds & np.uint64(2**20 - 1)).astype(np.int64)] = True
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _blocks(items: list[tuple[int, list[bytes]]], block_words: int) -> Iterator[list]:
-    block, size = [], 0
-    for item in items:
-        if block and size + len(item[1]) > block_words:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    if block:
-        yield block
+def bitmap(hashes: DataFrame, column: str) -> Bitmap:
+    """The bitmap of a column of hashes: each task sets bits of its own, and the driver joins them one by one."""
+    n = hashes.count()
+    power = int(min(BITMAP[1], max(BITMAP[0], np.ceil(np.log2(16 * n + 1)))))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, some = np.zeros(2 ** (power - 3), dtype=np.uint8), False
+        for b in batches:
+            at = b["h"].to_numpy().view(np.uint64) & np.uint64(2**power - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            some = some or len(b) > 0
+        if some:
+            yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    whole = np.zeros(2 ** (power - 3), dtype=np.uint8)
+    for r in hashes.select(F.col(column).alias("h")).coalesce(16).mapInPandas(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return Bitmap(whole)
 
-class _Places(WordHashes):
-    """Place of a word's hash in a sorted array; its length for other words."""
 
-    def __init__(self, wanted: np.ndarray):
-        super().__init__()
-        self.place = {int(h): k for k, h in enumerate(wanted)}
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``key, item_id, words``: items of at least a trigram with hashes of their words; null ids are items too."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self.place.get(super().__missing__(word), len(self.place))
-        self[word] = value
-        return value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            words = [hashes.of(plain_words(t)).view(np.int64) for t in b["text"]]
+            out = pd.DataFrame({"key": b["key"], "words": words})
+            yield out[[len(w) >= SEED_WORDS for w in words]]
 
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = durable(rows.distinct().withColumn("key", F.monotonically_increasing_id()), "benchmark")
+    return durable(rows.select("key", "text").mapInPandas(run, "key long, words array<long>").join(rows.select("key", "item_id"), "key"), "items")
 
-def _corpus_counts(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
-    """Occurrences of the ``wanted`` (sorted) word hashes in all documents, and the number of all words."""
+
+def _grams(items: DataFrame) -> DataFrame:
+    """``key, gram, at`` of all trigrams of the items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = _Places(wanted)
-        counts, total = np.zeros(len(wanted) + 1, dtype=np.int64), 0
         for b in batches:
-            for i in range(0, len(b), 64):
-                at = np.concatenate([places.of(plain_words(t)) for t in b["text"].iloc[i : i + 64]])
-                total += len(at)
-                counts += np.bincount(at.astype(np.int64), minlength=len(counts))
-        counts = counts[:-1]
-        some = np.flatnonzero(counts)
-        yield pd.DataFrame({"k": np.append(some, -1), "n": np.append(counts[some], total)})
-
-    rows = docs.select("text").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    counts, total = np.zeros(len(wanted), dtype=np.int64), 0
-    for r in rows:
-        if r["k"] < 0:
-            total = r["n"]
-        else:
-            counts[r["k"]] = r["n"]
-    return counts, total
-
-
-def _prepare(docs: DataFrame, block: list[tuple[int, list[bytes]]]) -> Items:
-    hashes = WordHashes()
-    words = [hashes.of(w) for _, w in block]
-    vocabulary = np.unique(np.concatenate(words))
-    counts, total = _corpus_counts(docs, vocabulary)
-    bits = -np.log2((counts + 1.0) / (total + len(vocabulary) + 1.0))
-    weights, seeds, of, at = [], [], [], []
-    for k, w in enumerate(words):
-        weight = bits[np.searchsorted(vocabulary, w)]
-        weights.append(weight)
-        n = min(SEED_WORDS, len(w))
-        grams = ngrams(w, n)
-        rarity = np.convolve(weight, np.ones(n), "valid")
-        rare = np.flatnonzero((rarity >= RARE_BITS) | (rarity >= np.sort(rarity)[-min(LEAST_SEEDS, len(rarity))]))
-        seeds.append(grams[rare])
-        of.append(np.full(len(rare), k))
-        at.append(rare)
-    seeds, of, at = np.concatenate(seeds), np.concatenate(of), np.concatenate(at)
-    order = np.argsort(seeds, kind="stable")
-    return Items([i for i, _ in block], words, weights, seeds[order], of[order], at[order])
-
-
-def _candidates(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(item, from, to, seeds)``: passages with enough seeds of an item about one diagonal."""
-    found = []
-    for n in items.gram_sizes:
-        grams = ngrams(words, n)
-        pos = np.flatnonzero(items.filter[(grams & np.uint64(2**20 - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(items.seeds, grams[pos], "left"), np.searchsorted(items.seeds, grams[pos], "right")
-        reps = hi - lo
-        if not reps.sum():
-            continue
-        doc_at = np.repeat(pos, reps)
-        k = np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        fits = np.minimum(SEED_WORDS, items.sizes[items.of[k]]) == n
-        doc_at, k = doc_at[fits], k[fits]
-        item, diagonal = items.of[k], doc_at - items.at[k]
-        order = np.lexsort((diagonal, item))
-        item, diagonal, at = item[order], diagonal[order], items.at[k][order]
-        size = items.sizes[item]
-        cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2 + 4)) + 1
-        for g in np.split(np.arange(len(item)), cut):
-            if not len(g):
-                continue
-            i, m = int(item[g[0]]), int(size[g[0]])
-            seeds = len(np.unique(at[g]))
-            if seeds >= min(2, m - n + 1):
-                margin = m // 2 + 6
-                found.append((i, max(0, int(diagonal[g[0]]) - margin), int(diagonal[g[-1]]) + m + margin, seeds))
-    return found
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+            for key, words in zip(b["key"], b["words"], strict=True):
+                grams = ngrams(np.asarray(words, dtype=np.int64).view(np.uint64), SEED_WORDS)
+                yield pd.DataFrame({"key": key, "gram": grams.view(np.int64), "at": np.arange(len(grams))})
+
+    return items.select("key", "words").mapInPandas(run, "key long, gram long, at int")
+
+
+def _corpus_counts(docs: DataFrame, words: Bitmap, grams: Bitmap) -> DataFrame:
+    """``gram, h, n``: how often words and trigrams that may be the benchmark's occur; the number of all words has no hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, total, held = WordHashes(), 0, {False: [], True: []}
+
+        def out() -> pd.DataFrame:
+            parts = []
+            for kind, lists in held.items():
+                if lists:
+                    found, n = np.unique(np.concatenate(lists), return_counts=True)
+                    parts.append(pd.DataFrame({"gram": kind, "h": found.view(np.int64), "n": n}))
+                lists.clear()
+            return pd.concat(parts) if parts else pd.DataFrame({"gram": [], "h": [], "n": []}).astype({"gram": bool, "h": np.int64, "n": np.int64})
+
+        size = 0
+        for b in batches:
+            texts = b["text"].tolist()
+            for i, j in slices(texts):
+                found = [hashes.of(plain_words(t)) for t in texts[i:j]]
+                each = np.concatenate(found)
+                total += len(each)
+                three = np.concatenate([ngrams(w, SEED_WORDS) for w in found])
+                for kind, values, which in ((False, each, words), (True, three, grams)):
+                    some = values[which.of(values)]
+                    held[kind].append(some)
+                    size += len(some)
+            if size > 8 * COUNTED:
+                yield out()
+                size = 0
+        yield out()
+        yield pd.DataFrame({"gram": [False], "h": [None], "n": [total]})
+
+    return docs.select("text").mapInPandas(run, "gram boolean, h long, n long").groupBy("gram", "h").agg(F.sum("n").alias("n"))
+
+
+def _seed_hits(docs: DataFrame, seeds: Bitmap) -> DataFrame:
+    """``digest, gram, pos``: where a text may hold a seed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            found = [[], [], []]
+            for digest, text in zip(b["digest"], b["text"], strict=True):
+                grams = ngrams(hashes.of(plain_words(text)), SEED_WORDS)
+                pos = np.flatnonzero(seeds.of(grams))
+                if len(pos):
+                    for column, values in zip(found, ([digest] * len(pos), grams[pos].view(np.int64), pos), strict=True):
+                        column.append(values)
+            if found[0]:
+                yield pd.DataFrame({"digest": [d for ds in found[0] for d in ds], "gram": np.concatenate(found[1]), "pos": np.concatenate(found[2])})
+
+    return docs.select("digest", "text").mapInPandas(run, "digest binary, gram long, pos int")
+
+
+def _candidates(hits: DataFrame, seeds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``digest, key, lo, hi, n_seeds``: passages with two seeds of an item about one diagonal."""
+    met = hits.join(seeds, "gram").select("digest", "key", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct().join(sizes, "key")
+    along = Window.partitionBy("digest", "key").orderBy("diagonal", "at")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.floor(F.col("size") / 2) + 4, F.lit(True))
+    groups = met.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    margin = F.floor(F.col("size") / 2) + 6
+    spans = groups.groupBy("digest", "key", "size", "span").agg(
+        F.min("diagonal").alias("a"), F.max("diagonal").alias("z"), F.count_distinct("at").alias("n_seeds")
+    )
+    enough = F.least(F.lit(2), F.col("size") - (SEED_WORDS - 1))
+    return spans.where(F.col("n_seeds") >= enough).select(
+        "digest", "key", F.greatest(F.lit(0), F.col("a") - margin).cast("int").alias("lo"), (F.col("z") + F.col("size") + margin).cast("int").alias("hi"), "n_seeds"
+    )
+
+
+def _aligned(docs: DataFrame, wanted: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``digest, key, score, first_word, last_word, n_seeds`` of candidates that are copies."""
+    lists = wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "lo", "hi", "n_seeds")).alias("at"))
+    texts = docs.join(lists.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("text").alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            for digest, text, at in zip(b["digest"], b["text"], b["at"], strict=True):
+                words = hashes.of(plain_words(text)).view(np.int64)
+                rows = [(digest, a["key"], a["lo"], a["n_seeds"], words[a["lo"] : a["hi"]]) for a in at]
+                yield pd.DataFrame(rows, columns=["digest", "key", "lo", "n_seeds", "passage"])
+
+    passages = texts.join(lists, "digest").mapInPandas(cut, "digest binary, key long, lo int, n_seeds long, passage array<long>")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                weight = np.asarray(r.weights)
+                best, first, end = smith_waterman(np.asarray(r.words), np.asarray(r.passage), weight)
+                share = best / weight.sum()
+                if best >= LEAST_BITS and (share >= threshold or best >= EXCERPT_WORDS * weight.mean()):
+                    rows.append((r.digest, r.key, share, r.lo + first, r.lo + end - 1, r.n_seeds))
+            yield pd.DataFrame(rows, columns=["digest", "key", "score", "first_word", "last_word", "n_seeds"])
+
+    both = durable(passages, "passages").join(items.select("key", "words", "weights"), "key")
+    return both.mapInPandas(align, "digest binary, key long, score double, first_word long, last_word long, n_seeds long")
+
+
+def _copies(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """``digest, item_id, score, first_word, last_word, n_seeds`` of the texts ``digest, text`` that copy test items."""
+    items = _items(benchmark)
+    grams = durable(_grams(items), "grams")
+    words = durable(items.select("key", F.posexplode("words").alias("at", "h")), "words")
+    own = [durable(d, "own") for d in (words.select("h").distinct(), grams.select(F.col("gram").alias("h")).distinct())]
+    counts = durable(_corpus_counts(docs, bitmap(own[0], "h"), bitmap(own[1], "h")), "counts")
+    total, vocabulary = counts.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], own[0].count()
+    bits = lambda n, of: -F.log2((F.coalesce(n, F.lit(0)) + 1.0) / float(of))
+    weighed = words.join(counts.where("not gram and h is not null").select("h", "n"), "h", "left").select(
+        "key", "at", bits(F.col("n"), total + vocabulary + 1).alias("w")
+    )
+    weights = weighed.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda e: e["w"]).alias("weights"))
+    items = durable(items.join(weights, "key"), "weighed")
+    rare = grams.join(counts.where("gram").select(F.col("h").alias("gram"), "n"), "gram", "left").withColumn("bits", bits(F.col("n"), total + 1))
+    ranked = rare.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("bits"), F.xxhash64("gram", "at"), "at")))
+    seeds = durable(ranked.where((F.col("bits") >= RARE_BITS) | (F.coalesce("n", F.lit(0)) <= RARE_COUNT) | (F.col("rank") <= LEAST_SEEDS)).select("gram", "key", "at"), "seeds")
+    hits = durable(_seed_hits(docs, bitmap(seeds.select("gram").distinct(), "gram")), "hits")
+    wanted = durable(_candidates(hits, seeds, items.select("key", F.size("words").alias("size"))), "candidates")
+    found = _aligned(docs, wanted, items, threshold).join(items.select("key", "item_id"), "key")
+    best = found.groupBy("digest", "item_id").agg(F.max(F.struct("score", "first_word", "last_word", "n_seeds")).alias("m"))
+    return best.select("digest", "item_id", F.round("m.score", 9).alias("score"), "m.first_word", "m.last_word", "m.n_seeds")
+
+
+def _told(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``text`` as text and its ``digest``."""
+    value = F.col(text).cast("string")
+    return docs.withColumn("text", value).withColumn("digest", F.unhex(F.sha2(value, 256)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word, n_seeds`` of each document and test item that it copies.
 
-    ``score`` is the alignment's share of the item's own score; words count from 0.
+    ``score`` is the alignment's share of the item's own weight; words count from 0.
     Null and empty texts and items match nothing; a repeated document reports its
-    matches once; a null document id cannot be reported. Empty tables give none.
+    matches once; a document or item without an id reports none, as it has no name. Other
+    columns play no part; empty tables give none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id")
-    items = [(r["item_id"], w) for r in rows.toLocalIterator() if (w := plain_words(r["text"]))]
-    schema = "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(_prepare(docs, block))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            hashes, items = WordHashes(), shared.value
-            for b in batches:
-                out = []
-                for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                    words = hashes.of(plain_words(text))
-                    for i, lo, hi, seeds in _candidates(words, items):
-                        best, first, end = smith_waterman(items.words[i], words[lo:hi], items.weights[i])
-                        share = best / items.weights[i].sum()
-                        if share >= threshold:
-                            out.append((doc, items.ids[i], share, lo + first, lo + end - 1, seeds))
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
-
-        found = found.unionByName(docs.where("doc_id is not null").mapInPandas(run, schema))
-    best = found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("score", "first_word", "last_word", "n_seeds")).alias("m")
-    )
-    return best.select("doc_id", "item_id", F.round("m.score", 9).alias("score"), "m.first_word", "m.last_word", "m.n_seeds")
+    docs = _told(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "text")
+    found = durable(_copies(docs, benchmark, threshold).where("item_id is not null"), "copies")
+    who = docs.where("doc_id is not null").select("doc_id", "digest").join(F.broadcast(found) if found.count() < BROADCAST_ROWS else found, "digest")
+    return who.select("doc_id", "item_id", "score", "first_word", "last_word", "n_seeds").distinct()
+
+
+#: Copies, a hundred bytes each, up to which they travel to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, whole and with all their columns, that copy no test item."""
-    hits = durable(contaminated(docs, benchmark, threshold).select("doc_id").distinct(), "leaks")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, whole and with all their columns, that copy no test item.
+
+    Documents and items without an id count like all others; repeated documents go or
+    stay together; columns may have any names; an empty table gives none.
+    """
+    rows, names, (place,) = positional(docs, "text")
+    told = _told(rows, place)
+    gone = durable(_copies(told.select("text", "digest"), benchmark, threshold).select("digest").distinct(), "leaks")
+    # A null text has no digest and stays.
+    kept = told.join(F.broadcast(gone) if gone.count() < BROADCAST_ROWS else gone, "digest", "left_anti")
+    return kept.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)

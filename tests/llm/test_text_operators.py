@@ -170,18 +170,88 @@ def test_decontamination_finds_copies_and_edits_alone(spark):
     docs.append((2100, f"{docs[0][1]} {items[-1][1].upper()} {docs[1][1]}"))
     docs += EDGES
     bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "a b c")], "item_id long, text string")
-    for block in (10**6, 100):
-        rows = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_words=block).collect()
-        found = {(r["doc_id"], r["item_id"]) for r in rows}
-        assert {(d, i) for d, i in planted.items()} <= found and len(rows) == len(found)
-        grams = lambda t, n=5: {tuple(w[k : k + n]) for w in [decontamination.plain_words(t)] for k in range(len(w) - n + 1)}
-        texts, tests = {d: t for d, t in docs if d is not None}, dict(items)
-        for d, i in found:  # what is found does share much
-            assert len(grams(texts[d], 2) & grams(tests[i], 2)) >= 0.3 * len(grams(tests[i], 2))
-        for d, t in texts.items():  # whole copies are all found
-            for i, text in tests.items():
-                if len(grams(t) & grams(text)) >= 0.9 * len(grams(text)):
-                    assert (d, i) in found
+    rows = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert {(d, i) for d, i in planted.items()} <= found and len(rows) == len(found)
+    grams = lambda t, n=5: {tuple(w[k : k + n]) for w in [decontamination.plain_words(t)] for k in range(len(w) - n + 1)}
+    texts, tests = {d: t for d, t in docs if d is not None}, dict(items)
+    for d, i in found:  # what is found does share much
+        assert len(grams(texts[d], 2) & grams(tests[i], 2)) >= 0.3 * len(grams(tests[i], 2))
+    for d, t in texts.items():  # whole copies are all found
+        for i, text in tests.items():
+            if len(grams(t) & grams(text)) >= 0.9 * len(grams(text)):
+                assert (d, i) in found
+    assert Counter((r["doc_id"], r["item_id"], round(r["score"], 6), r["first_word"], r["last_word"], r["n_seeds"]) for r in rows) == plain_copies(docs, items)
+
+
+def plain_copies(docs, items):
+    """Documents and items one by one: counted trigrams, seeds, diagonals, alignment."""
+    m, words = decontamination, decontamination.plain_words
+    tests = {i: w for i, t in items if len(w := words(t)) >= 3}
+    known = {x for w in tests.values() for x in w}
+    all_words = [words(t) for _, t in docs]
+    c1 = Counter(x for w in all_words for x in w)
+    c3 = Counter(tuple(w[k : k + 3]) for w in all_words for k in range(len(w) - 2))
+    total = sum(c1.values())
+    out = Counter()
+    for i, w in tests.items():
+        weight = np.array([-math.log2((c1[x] + 1) / (total + len(known) + 1)) for x in w])
+        bits = [-math.log2((c3[tuple(w[k : k + 3])] + 1) / (total + 1)) for k in range(len(w) - 2)]
+        seeds = {}
+        assert all(c3[tuple(w[k : k + 3])] <= m.RARE_COUNT for k in range(len(bits)))  # ties of hashes play no part here
+        for k in range(len(bits)):
+            if bits[k] >= m.RARE_BITS or c3[tuple(w[k : k + 3])] <= m.RARE_COUNT:
+                seeds.setdefault(tuple(w[k : k + 3]), []).append(k)
+        for d, own in {d: w for (d, _), w in zip(docs, all_words) if d is not None}.items():
+            hits = sorted({(k - at, at) for k in range(len(own) - 2) for at in seeds.get(tuple(own[k : k + 3]), [])})
+            groups = []
+            for g, at in hits:
+                if not groups or g - groups[-1][-1][0] > len(w) // 2 + 4:
+                    groups.append([])
+                groups[-1].append((g, at))
+            best = None
+            for g in groups:
+                n = len({at for _, at in g})
+                if n < min(2, len(w) - 2):
+                    continue
+                lo, hi = max(0, g[0][0] - len(w) // 2 - 6), g[-1][0] + len(w) + len(w) // 2 + 6
+                code = {x: k for k, x in enumerate({*w, *own})}
+                score, first, end = m.smith_waterman(np.array([code[x] for x in w]), np.array([code[x] for x in own[lo:hi]]), weight)
+                if score >= m.LEAST_BITS and (score >= m.THRESHOLD * weight.sum() or score >= m.EXCERPT_WORDS * weight.mean()):
+                    row = (score / weight.sum(), lo + first, lo + end - 1, n)
+                    best = max(best, row) if best else row
+            if best:
+                out[d, i, round(best[0], 6), *best[1:]] += 1
+    return out
+
+
+def test_items_copied_everywhere_keep_seeds(spark):
+    draw = random.Random(5)
+    item = " ".join("".join(draw.choices("abcdefgh", k=4)) for _ in range(40))
+    rows = [(k, f"w{k} {item} v{k}") for k in range(200)]
+    words = item.split()
+    words[::8] = ["zzz"] * len(words[::8])
+    rows += [(500, " ".join(words))] + [(600 + k, " ".join(draw.choices(item.split(), k=60))) for k in range(5)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()} == {*range(200), 500}
+
+
+def test_excerpts_short_items_and_rows_without_ids(spark):
+    draw = random.Random(12)
+    text = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    long_item, plain = text(400), text(60)
+    items = [(1, long_item), (2, "yes"), (3, "yes no"), (None, plain), (5, "yes no yes"), (2**60 + 1, plain + " end")]
+    excerpt = " ".join(long_item.split()[100:220])
+    rows = [
+        (10, f"{text(30)} {excerpt} {text(50)}", 1), (11, f"yes {text(40)} no yes no", 2), (None, f"{text(9)} {plain}", 3), (2**60 + 3, f"{plain} end {text(5)}", 4),
+        (13, text(5000) + " " + plain + " " + text(5000), 5), (14, None, 6), (15, "", 7), (10, f"{text(3)}", 8), (16, text(80), 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert found == {(10, 1), (2**60 + 3, 2**60 + 1), (13, 2**60 + 1)}
+    kept = decontamination.decontaminated(docs, bench)
+    assert kept.columns == ["doc_id", "text", "digest"] and sorted(r["digest"] for r in kept.collect()) == [2, 6, 7, 8, 9]
 
 
 def test_smith_waterman_equals_plain_recursion():
