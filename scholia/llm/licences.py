@@ -2,18 +2,21 @@
 
 Method: all rolling word k-gram hashes of every document are joined to the positions
 of the same k-grams in licence templates. Hits are added up by diagonal, the offset
-between document and template; neighbouring diagonals, which edits drive apart, are
-merged; and a merged span counts if it covers enough of its template within a span
-of about its length. Short phrases are templates of their own, for which one hit is
-the whole phrase.
-
-Templates are a fixed table of this module, so the joined side is small by
-construction. The text itself is read once and never shuffled.
+between document and template; diagonals with hardly a vote, as common words make them,
+go; neighbouring diagonals, which edits drive apart, are merged; and a merged span
+counts if it covers enough of its template within a span of about its length. Short
+phrases are templates of their own, for which one hit is the whole phrase.
+
+Templates are whole licence texts, a file each in ``templates`` beside this module, and
+the sentences by which programs name their licence. They are part of the package, so
+the joined side is small by construction. The text itself is read once and never
+shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scholia.llm.words import WordHashes, alphanumeric_words, ngrams
+from scholia.llm.words import WordHashes, alphanumeric_words, ngrams, slices
 
 #: Phrases, and the label of each.
 PHRASES = {
@@ -30,7 +33,7 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Opening sentences of common public licences, and the label of each.
+#: Sentences that name a common public licence, and its label.
 TEMPLATES = {
     "released under the mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2.0",
@@ -48,6 +51,8 @@ GRAM = 3
 NEIGHBOUR = 4
 #: Share of a template that a span must cover.
 COVER = 0.75
+#: Votes that a diagonal of a long template needs; a shorter one needs one for each twelve of its words.
+MOST_VOTES, WORDS_A_VOTE = 8, 12
 #: A document's last position is reported under this key.
 _WHOLE = -1
 
@@ -58,14 +63,27 @@ def _grams(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.concatenate((ngrams(w, GRAM, salt=GRAM), ngrams(w, 2, salt=2)))
 
 
-def _templates() -> list[dict]:
+def licence_texts() -> dict[str, str]:
+    """Label and text of each licence in the package."""
+    found = resources.files("scholia.llm").joinpath("templates")
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(found.iterdir(), key=lambda f: f.name)}
+
+
+def all_templates() -> list[tuple[list[bytes], str]]:
+    """Words and label of the phrases, the sentences and the licence texts, in this order."""
+    short = [(text.encode().split(), label) for text, label in [*PHRASES.items(), *TEMPLATES.items()]]
+    return short + [(alphanumeric_words(text), label) for label, text in licence_texts().items()]
+
+
+def _templates() -> list[tuple]:
     """Template positions by k-gram hash; phrases of two words by bigram."""
     hashes, rows = WordHashes(), []
-    for number, (text, label) in enumerate([*PHRASES.items(), *TEMPLATES.items()]):
-        w = hashes.of(text.encode().split())
+    for number, (words, label) in enumerate(all_templates()):
+        w = hashes.of(words)
         k = min(GRAM, len(w))
+        votes = max(1, min(MOST_VOTES, len(w) // WORDS_A_VOTE))
         for at, value in enumerate(ngrams(w, k, salt=k).view(np.int64).tolist()):
-            rows.append({"hash": value, "template": number, "at": at, "gram": k, "words": len(w), "label": label})
+            rows.append((value, number, at, k, len(w), votes, label))
     return rows
 
 
@@ -75,8 +93,8 @@ def document_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for first in range(0, whole.num_rows, 128):  # bounded memory for long texts
-                b = whole.slice(first, 128)
+            for first, end in slices(whole.column("text").to_pylist()):  # bounded memory for long texts
+                b = whole.slice(first, end - first)
                 words = [alphanumeric_words(t.as_py()) for t in b.column("text")]
                 grams = [_grams(w, hashes) for w in words]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))), pa.int32())
@@ -89,10 +107,10 @@ def document_grams(docs: DataFrame) -> DataFrame:
 
 
 def _table(spark) -> DataFrame:
-    import json
-
-    names = "hash bigint, template int, at int, gram int, words int, label string".replace(" ", ":").replace(",:", ",")
-    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(_templates())), f"array<struct<{names}>>"))))
+    names = ["hash", "template", "at", "gram", "words", "votes", "label"]
+    kinds = [pa.int64(), *[pa.int32()] * 5, pa.string()]
+    columns = zip(*_templates(), strict=True)
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}))
 
 
 def licence_spans(docs: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def licence_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = spark.range(1).select(
         whole.alias("hash"), F.lit(_WHOLE).alias("template"), F.lit(0).alias("at"), F.lit(0).alias("gram"),
-        F.lit(0).alias("words"), F.lit("").alias("label"),
+        F.lit(0).alias("words"), F.lit(1).alias("votes"), F.lit("").alias("label"),
     )
     hits = rolled.join(F.broadcast(_table(spark).unionByName(own)), "hash")
     trigrams = F.greatest(F.col("n_words") - (GRAM - 1), F.lit(0))
@@ -126,11 +144,11 @@ def licence_spans(docs: DataFrame) -> DataFrame:
     hits = hits.where(
         (F.col("template") == _WHOLE) | F.when(F.col("gram") == 2, F.col("k") >= trigrams).otherwise(F.col("k") < trigrams)
     )
-    key = ["row", "doc_id", "n_words", "template", "label", "words", "gram"]
+    key = ["row", "doc_id", "n_words", "template", "label", "words", "gram", "votes"]
     diagonals = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*key, "diagonal").agg(
         F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"),
         F.collect_set("at").alias("ats"),
-    )
+    ).where(F.col("n") >= F.col("votes"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     phrase = F.col("words") == F.col("gram")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR, F.lit(True)) | phrase

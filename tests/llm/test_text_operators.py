@@ -152,6 +152,57 @@ def test_licences_equal_brute_force(spark):
     assert {r["doc_id"]: r["labels"] for r in found}[909] == "mit"
 
 
+def plain_labels(text):
+    """Labels and score of a text: every k-gram against every template position, one by one."""
+    m = licences
+    w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    labels, score = set(), 0.0
+    for t, label in m.all_templates():
+        k = min(m.GRAM, len(t))
+        places = {}
+        for at in range(len(t) - k + 1):
+            places.setdefault(tuple(t[at : at + k]), []).append(at)
+        diagonals = {}
+        for pos in range(len(w) - k + 1):
+            for at in places.get(tuple(w[pos : pos + k]), []):
+                diagonals.setdefault(pos - at, []).append((pos, at))
+        votes = max(1, min(m.MOST_VOTES, len(t) // m.WORDS_A_VOTE))
+        spans, last = [], None
+        for d in sorted(d for d, hits in diagonals.items() if len(hits) >= votes):
+            if last is None or d - last > m.NEIGHBOUR or len(t) == k:
+                spans.append([])
+            spans[-1] += diagonals[d]
+            last = d
+        for hits in spans:
+            cover = len({at + j for _, at in hits for j in range(k)}) / len(t)
+            first, end = min(p for p, _ in hits), max(p for p, _ in hits)
+            if cover >= m.COVER and end - first + k <= len(t) * 1.5 + 2:
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licence_labels_equal_brute_force(spark):
+    draw = random.Random(2)
+    texts = licences.licence_texts()
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()] + EDGES
+    wanted = {}
+    for k, label in enumerate(["gpl-3", "apache-2.0", "mit", "isc", "bsd-3", "mpl-2.0", "lgpl-2.1", "cc0-1.0"]):
+        words = texts[label].split()
+        for _ in range(len(words) // 40):  # edits: replace, drop, add
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([["zzz"], [], [words[at], "qqq"]])
+        rows.append((2**60 + 2 * k + 1, f"{rows[k][1]} {' '.join(words)} {rows[k + 1][1]}"))
+        rows.append((3000 + k, " ".join(words[: len(words) // 2])))
+        wanted[2**60 + 2 * k + 1] = label
+    found = licences.licence_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    want = Counter((d, *plain_labels(t)) for d, t in rows)
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in found) == want
+    assert all(wanted[r["doc_id"]] in r["labels"].split(",") for r in found if r["doc_id"] in wanted)
+    halves = {r["doc_id"]: r["labels"] for r in found if 3000 <= (r["doc_id"] or 0) < 3008}
+    assert not any(label in halves[3000 + k].split(",") for k, label in enumerate(wanted.values()))
+
+
 def test_decontamination_finds_copies_and_edits_alone(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
