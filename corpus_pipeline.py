@@ -1,6 +1,8 @@
 """A corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, packing.
 
-Each stage takes what its predecessor kept, written as Parquet and read again.
+Each stage takes what its predecessor kept, written as Parquet and read again. All but
+the last return the columns of ``docs``, whatever their names and values, and treat
+repeated rows alike; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,35 +21,53 @@ from scholia.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labels of the folder."""
+    """Documents that the classifier does not reject; it learns from the labels of the folder.
+
+    Null and empty texts are scored as one empty passage. Labels with a null document or
+    value do not count; without labels every score is 0.5 and nothing is rejected.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group that shares 0.8 of its five-word shingles."""
+    """The smallest document of each group that shares 0.8 of its five-word shingles.
+
+    Documents without words or without an id are in no group and stay; rows that repeat
+    an id stay together.
+    """
     groups = minhash.near_duplicates(docs, words=5, threshold=Fraction(4, 5))
     gone = durable(groups.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a benchmark item."""
+    """Documents that hold no copy of a benchmark item, told by text, so that a null id does not hide one.
+
+    Null and empty texts stay; null, empty and one-word items reject nothing.
+    """
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; their length is counted again."""
+    """Documents with surrogates for personal data; their length is counted again where the text changed.
+
+    Null and empty texts stay as they are.
+    """
     done = pii.pseudonymised(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.col("pii_count") > 0
         done = done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return done.select(*docs.columns)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens.
+
+    Null and empty texts are the end token alone; documents without an id and repeated
+    rows are packed row by row.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
