@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,29 +87,42 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray, weight: np.ndarray) ->
 
 
 class Bitmap:
-    """Which 64-bit hashes may be in a set: a bit of their lowest bits each."""
+    """Which 64-bit hashes may be in a set: two bits each, by their lower and upper halves."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+        self.bits = bits
+
+    def places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Byte and bit of each probe."""
+        mask = np.uint64(8 * len(self.bits) - 1)
+        for half in (hashes, hashes >> np.uint64(32)):
+            at = half & mask
+            yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for byte, bit in self.places(hashes):
+            np.bitwise_or.at(self.bits, byte, bit)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        (byte, bit), second = self.places(hashes)
+        found = self.bits[byte] & bit > 0
+        some = np.flatnonzero(found)  # few are left for the second probe
+        found[some] = self.bits[second[0][some]] & second[1][some] > 0
+        return found
 
 
 def bitmap(hashes: DataFrame, column: str) -> Bitmap:
     """The bitmap of a column of hashes: each task sets bits of its own, and the driver joins them one by one."""
     n = hashes.count()
-    power = int(min(BITMAP[1], max(BITMAP[0], np.ceil(np.log2(16 * n + 1)))))
+    power = int(min(BITMAP[1], max(BITMAP[0], np.ceil(np.log2(64 * n + 1)))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, some = np.zeros(2 ** (power - 3), dtype=np.uint8), False
+        own, some = Bitmap(np.zeros(2 ** (power - 3), dtype=np.uint8)), False
         for b in batches:
-            at = b["h"].to_numpy().view(np.uint64) & np.uint64(2**power - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            own.add(b["h"].to_numpy().view(np.uint64))
             some = some or len(b) > 0
         if some:
-            yield pd.DataFrame({"bits": [bits.tobytes()]})
+            yield pd.DataFrame({"bits": [own.bits.tobytes()]})
 
     whole = np.zeros(2 ** (power - 3), dtype=np.uint8)
     for r in hashes.select(F.col(column).alias("h")).coalesce(16).mapInPandas(run, "bits binary").toLocalIterator():
@@ -116,6 +130,19 @@ def bitmap(hashes: DataFrame, column: str) -> Bitmap:
     return Bitmap(whole)
 
 
+def _texts_of(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """``digest, text`` once for each wanted digest: most others are told by a bitmap, and copies meet before the shuffle."""
+    wanted = bitmap(digests.select(F.xxhash64("digest").alias("h")), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted.of(b.column("h").to_numpy().view(np.uint64)))).drop_columns(["h"])
+
+    told = docs.where("digest is not null").select("digest", "text", F.xxhash64("digest").alias("h"))
+    some = told.mapInArrow(run, "digest binary, text string")
+    return some.groupBy("digest").agg(F.max("text").alias("text")).join(digests, "digest", "left_semi")
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """``key, item_id, words``: items of at least a trigram with hashes of their words; null ids are items too."""
 
@@ -217,7 +244,7 @@ def _candidates(hits: DataFrame, seeds: DataFrame, sizes: DataFrame) -> DataFram
 def _aligned(docs: DataFrame, wanted: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """``digest, key, score, first_word, last_word, n_seeds`` of candidates that are copies."""
     lists = wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "lo", "hi", "n_seeds")).alias("at"))
-    texts = docs.join(lists.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("text").alias("text"))
+    texts = _texts_of(docs, durable(wanted.select("digest").distinct(), "wanted"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
