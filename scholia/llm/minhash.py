@@ -46,7 +46,7 @@ BLOCK = 512
 #: Characters of a family in one block, about.
 BLOCK_CHARS = 32_000_000
 #: Members of a large band in one block.
-BAND_BLOCK = 256
+BAND_BLOCK = 512
 #: Members of a band up to which its pairs are joined, not compared in blocks.
 JOINED = 24
 _SEED = np.random.default_rng(7)
