@@ -33,6 +33,8 @@ from scholia.plans.durable import durable
 SAMPLE = 20_000
 LEAST_CELLS, MOST_CELLS = 16, 1_024
 BLOCK = 1_024
+#: Vectors that a task deals to their cells at a time.
+DEALT = 500
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -71,7 +73,7 @@ def reach_of(threshold: float) -> float:
 
 def cells_for(n: int, labels: int) -> int:
     """Number of cells for ``n`` vectors of ``labels`` labels."""
-    return int(min(MOST_CELLS, max(LEAST_CELLS, np.sqrt(n / max(1, labels)))))
+    return int(min(MOST_CELLS, max(LEAST_CELLS, np.sqrt(n / max(1, labels)) / 2)))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
@@ -99,7 +101,9 @@ def _dealt(units: DataFrame, centres: dict[int, np.ndarray], threshold: float) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for width, part in b.groupby(b["unit"].map(len)):
+            parts = [p.iloc[i : i + DEALT] for _, p in b.groupby(b["unit"].map(len)) for i in range(0, len(p), DEALT)]
+            for part in parts:  # a vector may have many copies
+                width = len(part["unit"].iloc[0])
                 own, goes = visits(np.stack(part["unit"].to_numpy()) @ centres[width].T, centres[width], reach)
                 row, cell = np.nonzero(goes)
                 out = part.iloc[row].copy()
