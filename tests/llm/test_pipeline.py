@@ -7,9 +7,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tests.llm.brute import near_duplicates
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scholia.llm import packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +71,7 @@ def test_pii_replaces_private_values_alone(stages):
 
 
 def test_packing_holds_every_token(stages):
-    encode = packing.load(public_tokenizers.path("byte_bpe_50k.json")).encode
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
     rows = {}
     for r in stages[5].collect():
         rows.setdefault(r["doc_id"], []).append(r)
