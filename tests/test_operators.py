@@ -312,3 +312,23 @@ def test_medians_and_series(spark):
         assert {(r["k"], r["t"]): r["interpolated"] for r in out} == {
             ("a", at(50)): 5.0, ("a", at(100)): 10.0, ("a", at(250_050)): 15.0, ("a", at(-1)): None, ("a", at(600_000)): None, ("b", at(5)): None, (None, at(5)): 1.0,
         }
+
+
+def test_topics_from_vectors_to_names(spark):
+    rows = [
+        (i, [1.0, 0.1 * (i % 3)] if i % 2 else [0.1 * (i % 3), 1.0], ["heart", "blood"] if i % 2 else ["brain", "sleep", "memory"], 2000 + i % 4)
+        for i in range(24)
+    ]
+    docs = spark.createDataFrame(rows, "id int, v array<double>, terms array<string>, year int")
+    placed, words = topics.topic_model(docs, "id", "v", "terms", 2, words=3)
+    of = {r["id"]: r["topic"] for r in placed.collect()}
+    assert len(of) == 24 and len({of[i] for i in range(0, 24, 2)}) == len({of[i] for i in range(1, 24, 2)}) == 1 and of[0] != of[1]
+    found = {}
+    for r in words.collect():
+        found.setdefault(r["topic"], set()).add(r["term"])
+    assert found == {of[1]: {"heart", "blood"}, of[0]: {"brain", "sleep", "memory"}}
+    by_year = topics.topics_over_time(docs, placed, "id", "year", "terms", 2).collect()
+    assert {(r["topic"], r["year"]) for r in by_year} == {(of[i], 2000 + i % 4) for i in range(24)}
+    assert all(r["term"] in found[r["topic"]] and r["rank"] <= 2 for r in by_year)
+    named = inference.named_topics(words, lambda texts: [t.split(", ")[0].upper() for t in texts]).collect()
+    assert {r["topic"] for r in named} == set(found) and all(r["name"].lower() in found[r["topic"]] for r in named)
