@@ -357,9 +357,26 @@ def kmeans_clusters(t: Tables) -> DataFrame:
     return vectors.kmeans(t.embeddings, "vec_id", "embedding", [8, 10])
 
 
-@query("pca_projection")
+def _axis(k: int, matrix: str) -> str:
+    """SQL for the leading axis ``v{k}`` of a symmetric matrix ``i, j, x`` by squaring it, its largest part positive."""
+    return f"""s{k} AS (SELECT 0 AS n, i, j, x FROM {matrix} UNION ALL
+      SELECT n + 1, i, j, x / sum(CASE WHEN i = j THEN x END) OVER () FROM (SELECT max(a.n) AS n, a.i, b.j, sum(a.x * b.x) AS x FROM s{k} a JOIN s{k} b ON a.j = b.i WHERE a.n < 13 GROUP BY a.i, b.j)),
+      w{k} AS (SELECT i, x FROM s{k} WHERE n = 13 AND j = (SELECT arg_max(j, x) FROM s{k} WHERE n = 13 AND i = j)),
+      v{k} AS (SELECT i, x / (SELECT sqrt(sum(x * x)) FROM w{k}) * sign((SELECT arg_max(x, abs(x)) FROM w{k})) AS x FROM w{k})"""
+
+
+@query(
+    "pca_projection",
+    f"""WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+      c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM e),
+      g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY 1, 2), m AS (SELECT i, j, x / (SELECT sum(x) FROM g WHERE i = j) AS x FROM g),
+      {_axis(1, 'm')}, l AS (SELECT sum(a.x * m.x * b.x) AS l FROM m JOIN v1 a ON a.i = m.i JOIN v1 b ON b.i = m.j),
+      r AS (SELECT m.i, m.j, m.x - l * a.x * b.x AS x FROM m JOIN v1 a ON a.i = m.i JOIN v1 b ON b.i = m.j, l), {_axis(2, 'r')}
+    SELECT vec_id, round(sum(c.x * v1.x), 4) AS pc1, round(sum(c.x * v2.x), 4) AS pc2 FROM c JOIN v1 USING (i) JOIN v2 USING (i) GROUP BY 1""",
+)
 def pca_projection(t: Tables) -> DataFrame:
-    return vectors.pca(t.embeddings, "vec_id", "embedding")
+    made = vectors.pca(t.embeddings, "vec_id", "embedding")
+    return made.select("vec_id", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
 
 
 @query(
