@@ -204,8 +204,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         rows += [(u, v, 0) for u, v in forest(one, two, linked)]
         return pd.DataFrame(rows, columns=["rep", "other", "n"], dtype="int64")
 
+    # Blocks are dealt one by one; by label and cell alone, as they were counted, a hot cell would be one task.
+    blocks = left.unionByName(right).repartition("label", "cell", "i", "j")
     found = durable(
-        left.unionByName(right).groupBy("label", "cell", "i", "j").applyInPandas(compare, "rep long, other long, n long"),
+        blocks.groupBy("label", "cell", "i", "j").applyInPandas(compare, "rep long, other long, n long"),
         "found",
     )
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
