@@ -168,7 +168,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     sizes = dealt.groupBy("label", "cell").agg(
         F.ceil(F.count_if(at_home) / F.lit(blocks_of)).cast("int").alias("homes"), F.ceil(F.count("*") / F.lit(blocks_of)).cast("int").alias("alls")
     )
-    sized = dealt.join(sizes.where("homes > 0"), ["label", "cell"])
+    # Written, so that Spark knows how small they are and need not shuffle the vectors to meet them.
+    sized = dealt.join(durable(sizes.where("homes > 0"), "sizes"), ["label", "cell"])
     hashed = F.xxhash64("rep")
     columns = ["label", "cell", "rep", "m", "unit", "home", "cells"]
     left = sized.where(at_home).select(
