@@ -12,12 +12,13 @@ from pyspark.sql.window import Window
 def citation_indices(df: DataFrame, key: str | Sequence[str], cites: str) -> DataFrame:
     """AGG-14, -15, -16: ``h_index, g_index, i10_index`` of each key over one row per paper.
 
-    Papers are ranked within a key by citations; no list of them is gathered.
+    Papers are ranked within a key by citations; no list of them is gathered. Ranks are
+    long, since their squares pass an int from the 46,341st paper of a key on.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ranked = df.select(*keys, F.coalesce(cites, F.lit(0)).alias("_c"))
     down = Window.partitionBy(*keys).orderBy(F.desc("_c"))
-    ranked = ranked.withColumn("_i", F.row_number().over(down)).withColumn(
+    ranked = ranked.withColumn("_i", F.row_number().over(down).cast("long")).withColumn(
         "_s", F.sum("_c").over(down.rowsBetween(Window.unboundedPreceding, 0))
     )
     return ranked.groupBy(*keys).agg(

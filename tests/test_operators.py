@@ -155,6 +155,15 @@ def test_indices_and_skew(spark):
         assert got[k] is None and len(v) < 3 or want != want or abs(got[k] - want) < 1e-9
 
 
+def test_indices_of_a_key_with_very_many_papers(spark):
+    n = 46_400  # its square is no int
+    df = spark.range(n).select(F.lit("a").alias("k"), F.when(F.col("id") < 200, 100.0).otherwise(0.0).alias("c"))
+    got = metrics.citation_indices(df, "k", "c").first()
+    assert (got["h_index"], got["g_index"], got["i10_index"]) == (100, 100, 200)
+    table = metrics.metric_table(df.withColumn("p", F.monotonically_increasing_id()), "k", "p", "c").first()
+    assert (table["papers"], table["total_cites"], table["g_index"]) == (n, 20000.0, 100)
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01",), ("2024-01-01",), ("2024-01-04",)], "d string").select(F.to_date("d").alias("d"))
     daily = windows.trailing_sum(windows.daily_counts(df, "d"), 3).orderBy("day").collect()
