@@ -3,11 +3,12 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import entity, parsing, text
-from scholia.operators import columns, dedup, graph, hierarchy, inference, metrics, textmine, topics, vectors, windows
+from scholia.operators import columns, communities, dedup, graph, hierarchy, inference, metrics, textmine, topics, vectors, windows
 from scholia.operators.components import connected_components
 
 
@@ -193,6 +194,65 @@ def test_communities(spark):
     assert (summary["components"], summary["giant_size"]) == (2, 18)
 
 
+def test_communities_by_vectors(spark, monkeypatch):
+    draw = random.Random(3)
+    group = {i: i % 8 for i in range(160)}
+    drawn = [sorted(draw.sample(range(160), 2)) for _ in range(9000)]
+    rows = [(a * 7 - 300, b * 7 - 300, 1 + draw.randrange(3)) for a, b in drawn if group[a] == group[b] or draw.random() < 0.01]
+    edges = spark.createDataFrame(rows, "src int, dst int, weight long")  # pairs recur and are summed
+    context = spark.sparkContext
+    context.setJobGroup("vectors", "")
+    found = graph.louvain(edges)
+    context.setJobGroup("other", "")
+    assert len(context.statusTracker().getJobIdsForGroup("vectors")) < 80  # joins took several jobs a round, each with all edges
+    assert found.dtypes == [("node", "int"), ("community", "int")]
+    got = {r["node"]: r["community"] for r in found.collect()}
+    assert set(got) == {e for a, b, _ in rows for e in (a, b)} and set(got.values()) <= set(got)
+    assert len(set(got.values())) == len({(group[(n + 300) // 7], c) for n, c in got.items()}) == 8
+    named = edges.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
+    texts = {r["node"]: r["community"] for r in graph.louvain(named).collect()}
+    assert {frozenset(int(n[1:]) for n in texts if texts[n] == c) for c in texts.values()} == {frozenset(n for n in got if got[n] == c) for c in got.values()}
+    assert graph.louvain(edges.where("src is null")).count() == 0
+    lone = {(r["node"], r["community"]) for r in graph.louvain(edges.limit(1).withColumn("weight", F.lit(0))).collect()}
+    assert lone == {(e, e) for e in [tuple(r)[:2] for r in edges.limit(1).collect()][0]}
+    monkeypatch.setattr(graph, "VECTOR_NODES", 5)
+    six = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (3, 5, 1), (4, 5, 1)], "src int, dst int, weight int")
+    assert communities.placed(six, 1.0, 0, 1, 2, 5) is None
+    assert {r["node"] for r in graph.louvain(six, levels=1, rounds=2).collect()} == set(range(6))
+
+
+def test_wanted_communities_equal_plain_gains(spark):
+    draw = random.Random(4)
+    pairs = {tuple(sorted(draw.sample(range(60), 2))): float(draw.randrange(1, 5)) for _ in range(300)}
+    blocks, nodes = communities.blocks_of(spark.createDataFrame([(a * 10, b * 10, w) for (a, b), w in pairs.items()], "src long, dst long, weight double"), 60)
+    assert nodes.tolist() == sorted({10 * e for p in pairs for e in p})
+    into = np.array([draw.randrange(12) for _ in nodes], "i4")
+
+    def check(w, of, blocks, n):
+        k = [sum(v * ((a == i) + (b == i)) for (a, b), v in w.items()) for i in range(n)]
+        m2 = sum(k)
+        assert communities.strengths(blocks, n).tolist() == k
+        got = communities.wanted(blocks, of, np.array(k), 1.0)
+        for i in range(n):
+            to = {of[i]: 0.0}
+            for (a, b), v in w.items():
+                if i in (a, b) and a != b:
+                    to[of[b if a == i else a]] = to.get(of[b if a == i else a], 0.0) + v
+            gain = {c: v - k[i] * sum(k[j] for j in range(n) if of[j] == c and j != i) / m2 for c, v in to.items()}
+            best = max((round(g, 9), c) for c, g in gain.items())
+            assert got[i] == (best[1] if best[0] > gain[of[i]] + 1e-7 else of[i])
+
+    at = {n: i for i, n in enumerate(nodes.tolist())}
+    w = {(at[10 * a], at[10 * b]): v for (a, b), v in pairs.items()}
+    check(w, into, blocks, len(nodes))
+    used, dense = np.unique(into, return_inverse=True)
+    joined = {}
+    for (a, b), v in w.items():
+        e = tuple(sorted((int(dense[a]), int(dense[b]))))
+        joined[e] = joined.get(e, 0.0) + v
+    check(joined, np.arange(len(used), dtype="i4") // 2, communities.joined_up(blocks, dense.astype("i4")), len(used))
+
+
 def test_text_mining(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, ["b"])], "d int, t array<string>")
     got = {(r["d"], r["term"]): r["w"] for r in textmine.tfidf(docs, "d", "t").collect()}
