@@ -28,8 +28,13 @@ def pairs(df: DataFrame, group: str, item: str, min_weight: int = 1, max_group:
     rows = df.where(F.col(item).isNotNull()).select(group, item).distinct()
     if max_group is not None:
         rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(group))).where(F.col("_n") <= max_group).drop("_n")
+    return pair_rows(rows, group, item).groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
+
+
+def pair_rows(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """``src, dst``: a row for each group that holds both of a pair of items; ``rows`` are distinct."""
     a, b = rows.withColumnRenamed(item, "src"), rows.withColumnRenamed(item, "dst")
-    return a.join(b, group).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
+    return a.join(b, group).where("src < dst").select("src", "dst")
 
 
 def item_counts(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -176,6 +181,20 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     return terms.agg(F.sum(one).alias("modularity"))
 
 
+def modularities(edges: DataFrame, partitions: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """AGG-50 of several partitions in one pass, one row: ``partitions`` has the node and a community of each, of one type."""
+    names = [c for c in partitions.columns if c != "node"]
+    # Edges are many beside nodes: they are joined unsorted.
+    ends = [partitions.select(F.col("node").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in names]).hint("shuffle_hash") for e in ("src", "dst")]
+    named = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    sides = [(c, F.col(f"{e}_{c}"), F.when(F.col(f"src_{c}") == F.col(f"dst_{c}"), F.col("w") / 2).otherwise(0.0)) for c in names for e in ("src", "dst")]
+    halves = named.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), of.alias("c"), F.col("w").alias("k"), i.alias("inside")) for c, of, i in sides])))
+    sums = halves.groupBy("name", "c").agg(F.sum("k").alias("k"), F.sum("inside").alias("inside"))
+    m = F.sum("k").over(Window.partitionBy("name")) / 2
+    terms = sums.withColumn("m", m).where("c is not null").withColumn("q", F.col("inside") / F.col("m") - resolution * F.pow(F.col("k") / (2 * F.col("m")), 2))
+    return terms.agg(*[F.sum(F.when(F.col("name") == c, F.col("q"))).alias(c) for c in names])
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """AGG-49: adjusted Rand index of two labelings, one row; 1 for two trivial ones."""
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

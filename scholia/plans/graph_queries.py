@@ -186,6 +186,12 @@ def part_sizes(t: Tables) -> DataFrame:
 PART_SIZES = "pt AS (SELECT DISTINCT item AS node, p_size::INT AS community FROM li JOIN part ON p_partkey = item)"
 
 
+def part_pairs(t: Tables) -> DataFrame:
+    """The pairs of ``part_graph``, a row each time, for what sums them itself."""
+    rows = parts(t).where("item is not null").select("g", "item").distinct()
+    return graph.pair_rows(rows, "g", "item").withColumn("weight", F.lit(1))
+
+
 def unfolded(name: str) -> str:
     """The SQL of a query over folded parts, over the parts themselves and with part sizes as communities."""
     return REGISTRY.oracles[name].replace(LISTED, LISTED.replace(" % 60", "")).replace(PARTITION, PART_SIZES)
@@ -243,16 +249,17 @@ def modularity_parts(t: Tables) -> DataFrame:
 )
 def louvain_quality(t: Tables) -> DataFrame:
     """What a partition must hold whatever its seeds: every node has one community, and it beats the partition by size."""
-    edges, node = part_graph(t)[0], F.col("node")
-    found = durable(graph.louvain(edges), "louvain")
-    own, by_size = (graph.modularity(edges, p).select(F.col("modularity").alias(n)) for p, n in ((found, "own"), (part_sizes(t), "sizes")))
+    edges, node = durable(part_pairs(t), "louvain"), F.col("node")
+    found = graph.louvain(edges)
+    sizes = part_sizes(t).select("node", F.col("community").cast("long").alias("sizes"))
+    both = graph.modularities(edges, found.select("node", F.col("community").cast("long").alias("own")).join(sizes, "node", "full"))
     counts = found.agg(F.count_distinct(node).alias("nodes"), F.count("*").alias("placed"))
-    return counts.crossJoin(own).crossJoin(by_size).select("nodes", "placed", (F.col("own") > F.col("sizes")).alias("beats_sizes"))  # one row each
+    return counts.crossJoin(both).select("nodes", "placed", (F.col("own") > F.col("sizes")).alias("beats_sizes"))  # one row each
 
 
 @query("louvain_communities")
 def louvain_communities(t: Tables) -> DataFrame:
-    return graph.louvain(part_graph(t)[0])
+    return graph.louvain(part_pairs(t))
 
 
 TERMS = r"tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}') AS ts FROM documents)"

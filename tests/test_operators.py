@@ -221,6 +221,16 @@ def test_communities_by_vectors(spark, monkeypatch):
     assert {r["node"] for r in graph.louvain(six, levels=1, rounds=2).collect()} == set(range(6))
 
 
+def test_modularities_equal_modularity(spark):
+    draw = random.Random(5)
+    edges = spark.createDataFrame([(*sorted(draw.sample(range(50), 2)), draw.randrange(1, 4)) for _ in range(200)], "src int, dst int, weight int")
+    of = spark.createDataFrame([(i, i % 3, None if i == 7 else i % 7) for i in range(48)], "node int, a int, b int")
+    got = graph.modularities(edges, of).first()
+    for c in ("a", "b"):
+        want = graph.modularity(edges, of.where(F.col(c).isNotNull()).select("node", F.col(c).alias("community"))).first()[0]
+        assert abs(got[c] - want) < 1e-12
+
+
 def test_wanted_communities_equal_plain_gains(spark):
     draw = random.Random(4)
     pairs = {tuple(sorted(draw.sample(range(60), 2))): float(draw.randrange(1, 5)) for _ in range(300)}
