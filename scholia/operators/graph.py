@@ -230,7 +230,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: in
 
 
 def louvain_by_joins(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int = 5, rounds: int = 12) -> DataFrame:
-    """``louvain`` all in frames, for graphs whose nodes do not fit a vector: some hundred times slower."""
+    """``louvain`` all in frames, for graphs whose nodes do not fit a vector; much slower."""
     weight = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
     total = weight.agg(F.sum("weight")).first()[0] or 0.0
     nodes = weight.select(F.col("src").alias("node")).union(weight.select("dst")).distinct()
