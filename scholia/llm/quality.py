@@ -23,9 +23,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scholia.llm.frames import positional
+from scholia.llm.frames import named, positional
 from scholia.llm.words import ranges, slices
 
 PASSAGE = 384
@@ -201,15 +200,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     sizes = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
-    chosen, held = [], 0
+    chosen, held = {}, 0
     for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most ``documents`` rows
         bags = max(1, -(-r["size"] // PASSAGE))
         if held + bags <= passages:
             held += bags
-            chosen.append((r["doc_id"], r["label"]))
+            chosen[r["doc_id"]] = r["label"]
     if not chosen:
         return None
-    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    # By Arrow: a list of tuples would start a second Python daemon with workers in the executors.
+    columns = {"doc_id": pa.array(list(chosen), pa.int64()), "label": pa.array(list(chosen.values()), pa.int32())}
+    wanted = docs.sparkSession.createDataFrame(pa.table(columns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -229,23 +230,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def scored(docs: DataFrame, model: AttentionScorer | None, text_col: str = "text") -> DataFrame:
-    """``row``, a struct of all columns by place, and ``score``, its text's; rows pass by Arrow and stay as they are.
+    """The columns ``c0, c1, ...`` of ``docs``, and ``score``, their text's.
 
-    Without a model, as without labels, every score is 0.5. Null and empty texts are
-    one empty passage.
+    Only texts go to Python, once, and only scores come back, so that buffers outside the
+    heap hold no other column. Without a model, as without labels, every score is 0.5.
+    Null and empty texts are one empty passage.
     """
     rows, _, (place,) = positional(docs, text_col)
-    packed = rows.select(F.struct("*").alias("row"), F.col(place).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            found = [
-                model.score(*encode(texts[i:j])) if model is not None else np.full(j - i, 0.5) for i, j in slices(texts)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(found) if found else [], pa.float64())], ["row", "score"])
+    @F.arrow_udf("double")
+    def score(batch: pa.Array) -> pa.Array:
+        texts = batch.to_pylist()
+        found = [
+            model.score(*encode(texts[i:j])) if model is not None else np.full(j - i, 0.5) for i, j in slices(texts)
+        ]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
 
-    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
+    return rows.withColumn("score", score(F.col(place).cast("string")))
 
 
 def score_quality(docs: DataFrame, model: AttentionScorer | None) -> DataFrame:
@@ -255,11 +256,11 @@ def score_quality(docs: DataFrame, model: AttentionScorer | None) -> DataFrame:
     part; an empty table gives none.
     """
     found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    found = found.select(F.col("row.c0").alias("doc_id"), "score")
+    found = found.select(F.col("c0").alias("doc_id"), "score")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: AttentionScorer | None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns as they are, whose score reaches the threshold."""
     kept = scored(docs, model).where(F.col("score") >= threshold)
-    return kept.select(*[F.col(f"row.c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
+    return named(kept, docs.columns)

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import SparkContext
 from tests.llm.brute import near_duplicates
 from tokenizers import Tokenizer
 
@@ -42,6 +43,17 @@ def test_quality_rejects_the_bad_and_keeps_the_good(spark, stages):
     assert len(wrong) <= 0.05 * len(quality)
 
 
+def test_quality_sends_python_the_texts_alone(spark, monkeypatch):
+    """Whole rows there and back, and workers for the table of labels, took an executor's memory."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows made by Python workers"))
+    plan = corpus_pipeline.quality_stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan
+    (sent,) = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    (given,) = re.findall(r"ArrowEvalPython \[score\(([^()]*)\)", sent)
+    assert "," not in given
+
+
 def test_near_dedup_equals_brute_force(stages):
     before, after = texts(stages[1]), texts(stages[2])
     want = near_duplicates(before, 5, 4, 5)
